@@ -77,47 +77,56 @@ def pagerank(
 ) -> DataFrame:
     """(v, pr<year> ...): power iteration for all years in one job per step.
 
-    A year stops once its ranks move by less than vertices x tolerance in total; the mass of vertices without
-    neighbours is spread evenly. ``tolerance=0`` runs exactly ``max_iterations`` steps. The ranks of each step are
-    written to the shared folder; the driver sees one row of totals per step.
+    A year stops at the first step whose ranks move by less than vertices x tolerance in total; the mass of vertices
+    without neighbours is spread evenly. ``tolerance=0`` runs exactly ``max_iterations`` steps. The ranks of every step
+    are written to the shared folder, and the driver reads one row with the movement of each year.
     """
     n = vertices.count()
     if n == 0:
         return vertices.select(v, *[F.lit(0.0).alias(f"pr{y}") for y in years])
+    deg = degrees(adj, vertices, years, v)
+    lonely = deg.agg(*[F.count_if(F.col(f"d{y}") == 0).alias(f"k{y}") for y in years]).first()
+
+    def spread(y: int, rank: Column) -> Column:
+        """Share that each vertex gets of the mass of the vertices without neighbours, which all have the same rank."""
+        return F.lit(lonely[f"k{y}"] / n) * rank
+
+    # lr<year>, the rank of a vertex without neighbours, travels with the rows: the steps then differ in no constant
+    # and share their compiled code.
     state = durable(
-        degrees(adj, vertices, years, v).select("*", *[F.lit(1.0 / n).alias(f"pr{y}") for y in years]), "rank"
+        deg.select("*", *[F.lit(1.0 / n).alias(c) for y in years for c in (f"pr{y}", f"lr{y}")]), "rank"
     )
     running = list(years)
     for _ in range(max_iterations):
-        loose = state.agg(
-            *[F.coalesce(F.sum(F.when(F.col(f"d{y}") == 0, F.col(f"pr{y}"))), F.lit(0.0)).alias(f"l{y}") for y in running]
-        ).first()
         shares = state.select(
             F.col(v).alias("src"), *[F.when(F.col(f"d{y}") > 0, F.col(f"pr{y}") / F.col(f"d{y}")).alias(f"s{y}") for y in running]
         )
-        inflow = (
-            adj.join(shares, "src").groupBy(F.col("dst").alias(v))
-            .agg(*[F.sum(F.when(known_in(y), F.col(f"s{y}"))).alias(f"in{y}") for y in running])
+        inflow = adj.join(shares, "src").groupBy(F.col("dst").alias(v)).agg(
+            *[F.sum(F.when(known_in(y), F.col(f"s{y}"))).alias(f"in{y}") for y in running]
         )
-        moved = state.join(inflow, v, "left").select(
-            v, *[f"d{y}" for y in years],
-            *[
-                (damping * (F.coalesce(f"in{y}", F.lit(0.0)) + loose[f"l{y}"] / n) + (1 - damping) / n).alias(f"pr{y}")
-                if y in running else F.col(f"pr{y}")
-                for y in years
-            ],
-            *[F.col(f"pr{y}").alias(f"_old{y}") for y in running],
+        base = (1 - damping) / n
+        moved = state.join(inflow, v, "left")
+        state = durable(
+            moved.select(
+                v, *[f"d{y}" for y in years], *[f"{c}{y}" for y in years if y not in running for c in ("pr", "lr")],
+                *[
+                    (damping * (F.coalesce(f"in{y}", F.lit(0.0)) + spread(y, F.col(f"lr{y}"))) + base).alias(f"pr{y}")
+                    for y in running
+                ],
+                *[(damping * spread(y, F.col(f"lr{y}")) + base).alias(f"lr{y}") for y in running],
+                *[F.col(f"pr{y}").alias(f"old{y}") for y in running],
+            ),
+            "rank",
         )
-        moved = durable(moved, "rank")
-        drift = moved.agg(*[F.sum(F.abs(F.col(f"pr{y}") - F.col(f"_old{y}"))).alias(f"e{y}") for y in running]).first()
-        state = moved.drop(*[f"_old{y}" for y in running])
-        running = [y for y in running if not drift[f"e{y}"] < n * tolerance]
-        if not running:
-            break
+        if tolerance > 0:
+            drift = state.agg(*[F.sum(F.abs(F.col(f"pr{y}") - F.col(f"old{y}"))).alias(f"e{y}") for y in running]).first()
+            running = [y for y in running if not drift[f"e{y}"] < n * tolerance]
+            if not running:
+                break
     else:
         if tolerance > 0:
             raise RuntimeError(f"no convergence in {max_iterations} steps for the years {running}")
-    return state.select(v, *[F.col(f"pr{y}") for y in years])
+    return state.select(v, *[f"pr{y}" for y in years])
 
 
 def shared_neighbours(pairs: DataFrame, adj: DataFrame, degree: DataFrame, years: Sequence[int], salt_rows: int = 4096) -> DataFrame:

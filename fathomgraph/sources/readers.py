@@ -83,7 +83,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
     One file, read as one value because only that keeps the line order; its size is checked first.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     size = whole.select(F.col("_metadata.file_size")).agg(F.sum("file_size")).first()[0] or 0
     if size > DICTIONARY_BYTES:
         raise ValueError(f"dictionary of {size} bytes is above {DICTIONARY_BYTES}; store it as a table with ids")

@@ -17,7 +17,8 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: s
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
     """CSV with header. Spark writes no byte-order mark; readers that need one must add it."""
-    df.write.mode(mode).options(header=True, sep=sep, encoding="UTF-8", escape='"').csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, sep=sep, encoding="UTF-8", escape='"', **keep).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "error") -> None:
