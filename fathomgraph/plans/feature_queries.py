@@ -9,10 +9,12 @@ from ..operators import citations, evaluate, features, graph, labels, ranking
 from ..operators.features import CITATION_BASE, CITATION_NAMES, NODE_NAMES, VERTEX_NAMES, YEARLY_NAMES
 from ..session import durable, shared_path
 from . import inputs as i
-from .graph_queries import STEPS, new_pairs, open_pairs, solution_sets, solutions
+from .graph_queries import new_pairs, open_pairs, solution_sets, solutions
 from .inputs import FEATURE_YEARS, LATER, YEAR, r9, sql_cutoff
 from .registry import cte, query
 
+# SQL cannot stop by itself, so the twins run a fixed number of rank steps.
+STEPS = 8
 FIXED = {"tolerance": 0, "max_iterations": STEPS}
 
 # -- vertex features -----------------------------------------------------------------------------------------------
@@ -295,10 +297,9 @@ cte(
 )
 cte(
     "sweep",
-    "SELECT part, ir, (sum(r) FILTER (citation >= ir) - p * (p + 1) / 2.0::DOUBLE) / nullif(p * (n - p), 0) AS auc FROM (SELECT part, ir, r, citation, "
-    "count(*) OVER (PARTITION BY part, ir) AS n, count(*) FILTER (citation >= ir) OVER (PARTITION BY part, ir) AS p FROM "
-    "(SELECT *, rank() OVER (PARTITION BY part ORDER BY score) + (count(*) OVER (PARTITION BY part, score) - 1) / 2.0::DOUBLE AS r FROM sweep_rows) "
-    "JOIN (SELECT CAST(unnest(range(1, 41)) AS INTEGER) AS ir) ON true) GROUP BY part, ir, n, p", "sweep_rows",
+    "SELECT part, ir, (ranks - p * (p + 1) / 2.0::DOUBLE) / nullif(p * (n - p), 0) AS auc FROM (SELECT part, ir, count(*) AS n, count(*) FILTER (citation >= ir) AS p, "
+    "coalesce(sum(r) FILTER (citation >= ir), 0) AS ranks FROM (SELECT *, rank() OVER (PARTITION BY part ORDER BY score) + (count(*) OVER (PARTITION BY part, score) - 1) / 2.0::DOUBLE AS r FROM sweep_rows) "
+    "JOIN (SELECT CAST(unnest(range(1, 41)) AS INTEGER) AS ir) ON true GROUP BY part, ir)", "sweep_rows",
 )
 
 
@@ -426,10 +427,11 @@ def _(spark, d):
 
 @query(
     "k7_cumulative_share",
-    "SELECT v1, v2, round(score, 9) AS score, round(sum(score) OVER (ORDER BY score DESC, v1, v2 ROWS UNBOUNDED PRECEDING) / sum(score) OVER (), 9) AS cum_share FROM scored", "scored",
+    "SELECT v1, v2, round(score, 9) AS score, round(sum(score) OVER (ORDER BY score DESC, v1, v2 ROWS UNBOUNDED PRECEDING) / sum(score) OVER (), 6) AS cum_share FROM scored", "scored",
 )
 def _(spark, d):
-    return _round_all(ranking.cumulative_share(i.scored_pairs(spark, d)), ["score", "cum_share"])
+    shares = ranking.cumulative_share(i.scored_pairs(spark, d))
+    return shares.select("v1", "v2", r9(F.col("score")).alias("score"), F.round("cum_share", 6).alias("cum_share"))
 
 
 cte(

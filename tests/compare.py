@@ -48,7 +48,7 @@ def main(sf_dir: str, wanted: list[str]) -> None:
     from fathomgraph.session import build_session
     import __spark_entry__ as entry
 
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.driver.maxResultSize": "6g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.maxResultSize": "6g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
