@@ -1,8 +1,9 @@
 """Dictionary matching as an equi-join, document frequency, and dictionary refinement.
 
-Every position of a text yields a window as long as the longest concept, and of each window the first 4, 8 and 16
-characters. A concept is looked up by the longest of these prefixes that it fills, then checked against the window.
-The text itself is never shuffled: a counted, small dictionary is broadcast; a large one is joined by salted prefix.
+A text is cut into short pieces that overlap by the length of the longest concept. Every position of a piece yields one
+prefix (or one per anchor length, if many concepts begin alike); concepts are looked up by the longest anchor they fill,
+then compared with the piece. The text itself is never shuffled by the join: a counted, small dictionary is broadcast,
+a large one is joined by salted prefix.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.text import is_boundary
 from ..session import BROADCAST_ROWS
 
-ANCHORS = (4, 8, 16)
-CHUNK = 1 << 18
+SHORTEST_ANCHOR = 4
+#: Concepts per prefix on average, above which a longer anchor is added.
+LONG_CHAIN = 4
+PIECE = 32
 SALTS = 16
 
 
@@ -26,59 +29,77 @@ def clean_dictionary(concepts: DataFrame, text: str = "concept", id_: str = "con
     return named.groupBy(text).agg(F.min(id_).alias(id_)).select(id_, text)
 
 
-def _anchor_length(concept: Column) -> Column:
+def _anchor_lengths(dictionary: DataFrame, concept: str) -> list[int]:
+    """Prefix lengths to look up: the shortest useful one, doubled while too many concepts share their prefix."""
+    shortest = dictionary.agg(F.min(F.length(concept))).first()[0] or 1
+    lengths = [max(SHORTEST_ANCHOR, min(shortest, 2 * SHORTEST_ANCHOR))]
+    while len(lengths) < 3:
+        q = lengths[-1]
+        chain = dictionary.filter(F.length(concept) >= 2 * q).agg(
+            (F.count(F.lit(1)) / F.nullif(F.count_distinct(F.left(concept, F.lit(q))), F.lit(0))).alias("chain")
+        ).first()["chain"]
+        if not chain or chain <= LONG_CHAIN:
+            break
+        lengths.append(2 * q)
+    return lengths
+
+
+def _anchor_length(concept: Column, lengths: Sequence[int]) -> Column:
     n = F.length(concept)
-    picked = F.when(n < ANCHORS[0], n)
-    for q in sorted(ANCHORS, reverse=True):
+    picked = F.when(n < lengths[0], n)
+    for q in sorted(lengths, reverse=True):
         picked = picked.when(n >= q, F.lit(q))
     return picked
 
 
 def occurrences(
     texts: DataFrame, dictionary: DataFrame, doc: str, text: str, *, whole_words: bool = False,
-    concept: str = "concept", concept_id: str = "concept_id", broadcast_rows: int = BROADCAST_ROWS, chunk: int = CHUNK,
+    concept: str = "concept", concept_id: str = "concept_id", broadcast_rows: int = BROADCAST_ROWS, piece: int = PIECE,
 ) -> DataFrame:
     """All places where a concept occurs, nested and overlapping ones too: (doc, concept_id, concept, start).
 
     ``whole_words`` asks for a boundary character or the end of the text on both sides.
     """
+    anchors = _anchor_lengths(dictionary, concept)
     anchored = dictionary.select(
-        F.col(concept_id), F.col(concept), F.left(concept, _anchor_length(F.col(concept))).alias("_gram")
+        F.col(concept_id), F.col(concept), F.left(concept, _anchor_length(F.col(concept), anchors)).alias("_gram")
     )
     facts = anchored.agg(
         F.max(F.length(concept)).alias("longest"), F.count(F.lit(1)).alias("rows"),
         F.collect_set(F.length("_gram")).alias("lengths"),
     ).first()
     lengths = sorted(facts["lengths"]) or [1]
-    longest, pad = facts["longest"] or 1, 1 if whole_words else 0
-    width = longest + 2 * pad
+    # With whole words the text is padded by a blank on both sides, and a window starts one character early.
+    pad = 1 if whole_words else 0
+    overlap = (facts["longest"] or 1) + 2 * pad - 1
     body = F.concat(F.lit(" "), F.col(text), F.lit(" ")) if whole_words else F.col(text)
 
-    # Long texts are cut into overlapping chunks, so that the windows of one chunk stay small.
-    chunks = (
-        texts.select(F.col(doc), body.alias("_body"))
-        .filter(F.length("_body") > 0)
-        .select(doc, "_body", F.explode(F.sequence(F.lit(0), F.length("_body") - 1, F.lit(chunk))).alias("_off"))
-        .select(doc, "_off", F.substring("_body", F.col("_off") + 1, F.lit(chunk + width)).alias("_chunk"))
-    )
-    windows = chunks.select(
-        doc, "_off", F.posexplode(F.regexp_extract_all("_chunk", F.lit(f"(?s)(?=(.{{1,{width}}}))."), F.lit(1))).alias("_at", "_win")
-    ).filter(F.col("_at") < chunk)
-    probes = windows.select(
-        doc, (F.col("_off") + F.col("_at")).alias("start"), "_win",
-        F.explode(F.array(*[F.when(F.length("_win") >= q + pad, F.substring("_win", 1 + pad, q)) for q in lengths])).alias("_gram"),
-    ).filter(F.col("_gram").isNotNull())
-
-    found = F.col("_win").substr(F.lit(1 + pad), F.length(concept)) == F.col(concept)
+    pattern = f"(?s)(?=(.{{1,{piece + overlap}}})).{{1,{piece}}}"
+    pieces = texts.select(F.col(doc), F.posexplode(F.regexp_extract_all(body, F.lit(pattern), F.lit(1))).alias("_no", "_piece"))
+    # One number per (position, anchor length); the last piece of a text may be shorter than the others.
+    many = len(lengths)
+    last = F.least(F.length("_piece"), F.lit(piece)) * many - 1
+    probes = pieces.select(doc, "_no", "_piece", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
+    at = F.floor(F.col("_k") / many).cast("int") if many > 1 else F.col("_k")
+    q = F.lit(lengths[0])
+    if many > 1:
+        q = F.element_at(F.array(*map(F.lit, lengths)), F.col("_k") % many + 1)
+    probes = probes.select(doc, "_no", "_piece", at.alias("_at"), F.substring("_piece", at + 1 + pad, q).alias("_gram"), q.alias("_q"))
+    if many > 1:
+        # A cut-off prefix at the end of a text must not pass for a shorter anchor.
+        probes = probes.filter(F.length("_gram") == F.col("_q"))
+
+    found = F.substring("_piece", F.col("_at") + 1 + pad, F.length(concept)) == F.col(concept)
+    if whole_words:
+        before = F.substring("_piece", F.col("_at") + 1, F.lit(1))
+        after = F.substring("_piece", F.col("_at") + F.length(concept) + 2, F.lit(1))
+        found = found & is_boundary(before) & is_boundary(after)
     if facts["rows"] <= broadcast_rows:
         hits = probes.join(F.broadcast(anchored), "_gram")
     else:
         salted = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = probes.withColumn("_salt", F.pmod(F.xxhash64(doc, "start"), F.lit(SALTS)).cast("int")).join(salted, ["_gram", "_salt"])
-    if whole_words:
-        after = F.col("_win").substr(F.length(concept) + 2, F.lit(1))
-        found = found & is_boundary(F.left("_win", F.lit(1))) & is_boundary(after)
-    return hits.filter(found).select(doc, concept_id, concept, "start")
+        hits = probes.withColumn("_salt", F.pmod(F.xxhash64(doc, "_no", "_at"), F.lit(SALTS)).cast("int")).join(salted, ["_gram", "_salt"])
+    return hits.filter(found).select(doc, concept_id, concept, (F.col("_no") * piece + F.col("_at")).alias("start"))
 
 
 def mentions(texts: DataFrame, dictionary: DataFrame, doc: str, text: str, **options) -> DataFrame:

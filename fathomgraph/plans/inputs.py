@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_offset
 from ..operators.cooccur import cooccurrence
+from ..session import spread_scan
 from .registry import cte
 
 YEARS = list(range(1995, 2002))
@@ -127,10 +128,14 @@ def sql_cutoff(y: int) -> str:
 
 # -- texts ---------------------------------------------------------------------------------------------------------
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, title, abstract, text): the first line is the title, the other lines are the abstract."""
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "lang", "source", "text", F.element_at(lines, 1).alias("title"),
         F.array_join(F.slice(lines, 2, F.size(lines)), "\n").alias("abstract"),
     )
@@ -191,7 +196,7 @@ SYMMETRIC, DIRECTED = ["NIL", "CONJUNCTION", "COMPARE"], ["PART-OF", "USED-FOR",
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, sentences): the lines of every document as blank-separated tokens."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("doc"), F.transform(F.split("text", "\n"), lambda line: F.split(line, " ")).alias("sentences")
     )
 

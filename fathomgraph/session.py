@@ -66,3 +66,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only if counting proves that it has at most ``rows`` rows."""
     small = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if small else df
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows of a plain scan over the cores if the files give fewer splits than there are cores.
+
+    For CPU-heavy steps on few or unsplittable files. Tables with enough splits are left alone, so large data is not
+    shuffled for it. ``df`` must be a scan with projections and filters only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
