@@ -21,6 +21,7 @@ def build_session(app: str = "fathomgraph", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.legacy.javaCharsets": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

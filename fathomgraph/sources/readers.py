@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +12,9 @@ from .. import schema
 from ..functions.dates import day_offset, iso_date, preprint_date
 from ..functions.text import REPLACE_SHORT, paper_abstract, paper_text
 
+#: JVM names of charsets that Python spells differently.
+_CHARSETS = {"latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+
 #: Largest dictionary file that is read as one value to keep its line order.
 DICTIONARY_BYTES = 128 << 20
 
@@ -115,10 +117,11 @@ def scan_narrow(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def read_csv(spark: SparkSession, path: str, columns: T.StructType, encodings: Sequence[str] = ("utf-8",), **options) -> DataFrame:
     """CSV with header; names are trimmed by applying ``columns``, and a byte-order mark is cut off.
 
-    With several encodings the first one under which no value holds a replacement character is taken.
+    With several encodings the first one under which no value holds a replacement character is taken. Charsets that
+    Spark does not list, such as gbk, need ``spark.sql.legacy.javaCharsets=true``, which ``build_session`` sets.
     """
     def load(encoding: str) -> DataFrame:
-        charset = codecs.lookup(encoding).name
+        charset = _CHARSETS.get(encoding, encoding)
         return spark.read.options(header=True, encoding=charset, enforceSchema=True, multiLine=True, escape='"', **options).schema(columns).csv(path)
 
     for encoding in encodings[:-1]:
