@@ -3,67 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: Most concepts of a paper that one task pairs with each other; papers above it are split into blocks.
 BLOCK = 256
 
 
-def _pairs_inside(concepts: Column) -> Column:
-    """All i < j pairs of a sorted array, as an array of (v1, v2)."""
-    return F.flatten(
-        F.transform(
-            concepts,
-            lambda x, i: F.transform(
-                F.slice(concepts, i + 2, F.size(concepts)), lambda y: F.struct(x.alias("v1"), y.alias("v2"))
-            ),
-        )
-    )
-
-
-def _pairs_between(left: Column, right: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            left,
-            lambda x: F.transform(
-                right, lambda y: F.struct(F.least(x, y).alias("v1"), F.greatest(x, y).alias("v2"))
-            ),
-        )
-    )
-
-
 def cooccurrence(mentions: DataFrame, paper: str, concept: str, carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """One row (paper, v1, v2, carried columns) per paper and pair of distinct concepts, v1 < v2.
 
-    ``carry`` names columns that depend on the paper only. A paper with many concepts is cut into hash blocks; the
+    ``carry`` names columns that depend on the paper only. A first look finds the papers with more than ``block``
+    mentions; usually there are none, and one grouping by paper does it. Large papers are cut into hash blocks, and the
     pairs of two blocks are made by a task of their own, so no task ever holds a whole large paper.
     """
     large = mentions.groupBy(paper).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
-    large = large.select(paper, (F.floor(F.col("_n") / block) + 1).cast("int").alias("_blocks"))
-    split = mentions.join(large, paper, "left").select(
-        paper, concept, *carry, F.coalesce("_blocks", F.lit(1)).alias("_blocks")
+    rest = mentions
+    parts = []
+    if not large.isEmpty():
+        large = durable(large.select(paper, (F.floor(F.col("_n") / block) + 1).cast("int").alias("_blocks")), "large")
+        parts = _large_papers(mentions.join(large, paper), paper, concept, carry)
+        rest = mentions.join(large, paper, "left_anti")
+    grouped = rest.groupBy(paper).agg(
+        F.array_sort(F.collect_set(concept)).alias("_vs"), *[F.first(c).alias(c) for c in carry]
     )
-    grouped = (
-        split.withColumn("_block", F.pmod(F.xxhash64(concept), F.col("_blocks")).cast("int"))
-        .groupBy(paper, "_block")
-        .agg(
-            F.array_sort(F.collect_set(concept)).alias("_vs"), F.max("_blocks").alias("_blocks"),
-            *[F.first(c).alias(c) for c in carry],
-        )
+    return reduce(DataFrame.unionByName, parts, _pairs_inside(grouped, paper, carry))
+
+
+def _pairs_inside(grouped: DataFrame, paper: str, carry: Sequence[str]) -> DataFrame:
+    """All i < j pairs of the sorted concept arrays."""
+    first = grouped.select(paper, *carry, "_vs", F.posexplode("_vs").alias("_i", "v1"))
+    return first.select(paper, "v1", F.explode(F.slice("_vs", F.col("_i") + 2, F.size("_vs"))).alias("v2"), *carry)
+
+
+def _large_papers(mentions: DataFrame, paper: str, concept: str, carry: Sequence[str]) -> list[DataFrame]:
+    blocks = durable(
+        mentions.withColumn("_block", F.pmod(F.xxhash64(concept), F.col("_blocks")).cast("int")).groupBy(paper, "_block").agg(
+            F.array_sort(F.collect_set(concept)).alias("_vs"), *[F.first(c).alias(c) for c in carry]
+        ),
+        "blocks",
     )
-    inside = grouped.select(paper, F.explode(_pairs_inside(F.col("_vs"))).alias("_p"), *carry)
-
-    cut = grouped.filter(F.col("_blocks") > 1)
-    a = cut.select(paper, F.col("_block").alias("_a"), F.col("_vs").alias("_va"), *carry)
-    b = cut.select(paper, F.col("_block").alias("_b"), F.col("_vs").alias("_vb"))
-    between = (
-        a.join(b, paper).filter(F.col("_a") < F.col("_b"))
-        .repartition(F.col(paper), F.col("_a"), F.col("_b"))
-        .select(paper, F.explode(_pairs_between(F.col("_va"), F.col("_vb"))).alias("_p"), *carry)
+    a = blocks.select(paper, F.col("_block").alias("_a"), F.col("_vs").alias("_va"), *carry)
+    b = blocks.select(paper, F.col("_block").alias("_b"), F.col("_vs").alias("_vb"))
+    tasks = a.join(b, paper).filter(F.col("_a") < F.col("_b")).repartition(F.col(paper), F.col("_a"), F.col("_b"))
+    one = tasks.select(paper, *carry, "_vb", F.explode("_va").alias("_x"))
+    between = one.select(paper, *carry, "_x", F.explode("_vb").alias("_y")).select(
+        paper, F.least("_x", "_y").alias("v1"), F.greatest("_x", "_y").alias("v2"), *carry
     )
-    return inside.unionByName(between).select(paper, "_p.v1", "_p.v2", *carry)
+    return [_pairs_inside(blocks, paper, carry), between]
 
 
 def cooccurrence_occurrences(occurrences: DataFrame, paper: str, concept: str, position: Sequence[str]) -> DataFrame:

@@ -129,34 +129,40 @@ def pagerank(
     return state.select(v, *[f"pr{y}" for y in years])
 
 
+def neighbour_words(adj: DataFrame, years: Sequence[int]) -> DataFrame:
+    """(src, word, b<year> ...): 64 neighbour ids packed into the bits of one number, so dense lists shrink up to 64-fold."""
+    bit = F.expr("shiftleft(1L, cast(pmod(dst, 64) as int))")
+    return adj.groupBy("src", F.shiftright("dst", 6).alias("word")).agg(
+        *[F.coalesce(F.bit_or(F.when(known_in(y), bit)), F.lit(0).cast("bigint")).alias(f"b{y}") for y in years]
+    )
+
+
 def shared_neighbours(pairs: DataFrame, adj: DataFrame, degree: DataFrame, years: Sequence[int], salt_rows: int = 4096) -> DataFrame:
     """(v1, v2, n<year> ...): neighbours that both ends have in each year.
 
-    Each pair walks the neighbours of its end of smaller degree and probes the edge table with the other end, so a hub
-    never lists its whole neighbourhood against a small vertex. Neighbours of large vertices are split by salt.
+    Each pair walks the packed neighbours of its end of smaller degree and probes those of the other end, so a hub never
+    lists its whole neighbourhood against a small vertex. Neighbours of large vertices are split by salt.
     """
     last = max(years)
-    d = degree.select("v1", F.col(f"d{last}").alias("_d"))
-    d = broadcast_if_small(d)
+    d = broadcast_if_small(degree.select("v1", F.col(f"d{last}").alias("_d")))
     sized = pairs.select("v1", "v2").join(d, "v1").join(
         d.select(F.col("v1").alias("v2"), F.col("_d").alias("_e")), "v2"
     )
     small_first = F.col("_d") <= F.col("_e")
-    low = F.least("_d", "_e")
-    ends = sized.filter(low > 0).select(
+    ends = sized.filter(F.least("_d", "_e") > 0).select(
         "v1", "v2", F.when(small_first, F.col("v1")).otherwise(F.col("v2")).alias("src"),
         F.when(small_first, F.col("v2")).otherwise(F.col("v1")).alias("_far"),
         F.explode(F.sequence(F.lit(0), F.expr(f"cast(least(_d, _e) div {salt_rows} as int)"))).alias("_salt"),
     )
-    known = adj.filter(known_in(last))
-    spread = known.join(d.withColumnRenamed("v1", "src"), "src").select(
-        "src", "dst", F.col("first_day").alias("_f1"),
-        F.pmod(F.xxhash64("dst"), F.expr(f"_d div {salt_rows} + 1")).cast("int").alias("_salt"),
+    words = durable(neighbour_words(adj.filter(known_in(last)), years), "words")
+    near = words.join(d.withColumnRenamed("v1", "src"), "src").select(
+        "src", "word", *[F.col(f"b{y}").alias(f"_n{y}") for y in years],
+        F.pmod(F.xxhash64("word"), F.expr(f"_d div {salt_rows} + 1")).cast("int").alias("_salt"),
     )
-    probe = known.select(F.col("src").alias("_far"), "dst", F.col("first_day").alias("_f2"))
-    common = ends.join(spread, ["src", "_salt"]).join(probe, ["_far", "dst"])
+    far = words.withColumnRenamed("src", "_far")
+    common = ends.join(near, ["src", "_salt"]).join(far, ["_far", "word"])
     counts = common.groupBy("v1", "v2").agg(
-        *[F.count_if(known_in(y, "_f1") & known_in(y, "_f2")).alias(f"n{y}") for y in years]
+        *[F.sum(F.bit_count(F.col(f"_n{y}").bitwiseAND(F.col(f"b{y}")))).alias(f"n{y}") for y in years]
     )
     zero = F.lit(0).cast("bigint")
     return pairs.select("v1", "v2").join(counts, ["v1", "v2"], "left").select(
