@@ -57,12 +57,27 @@ def _large_papers(mentions: DataFrame, paper: str, concept: str, carry: Sequence
     return [_pairs_inside(blocks, paper, carry), between]
 
 
-def cooccurrence_occurrences(occurrences: DataFrame, paper: str, concept: str, position: Sequence[str]) -> DataFrame:
-    """Pairs of occurrences in text order: repeated and equal concepts stay, v1 < v2 is not ensured."""
-    place = F.struct(*position)
-    a = occurrences.select(paper, F.col(concept).alias("v1"), place.alias("_a"))
-    b = occurrences.select(paper, F.col(concept).alias("v2"), place.alias("_b"))
-    return a.join(b, paper).filter(F.col("_a") < F.col("_b")).select(paper, "v1", "v2")
+def cooccurrence_occurrences(
+    occurrences: DataFrame, paper: str, concept: str, position: Sequence[str], block: int = BLOCK
+) -> DataFrame:
+    """Pairs of occurrences in text order: repeated and equal concepts stay, v1 < v2 is not ensured.
+
+    The first occurrences of a large paper are spread over salts, each of which meets a copy of all its occurrences.
+    """
+    large = occurrences.groupBy(paper).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    large = large.select(paper, (F.floor(F.col("_n") / block) + 1).cast("int").alias("_salts"))
+    placed = occurrences.join(large, paper, "left").select(
+        paper, concept, F.struct(*position).alias("_at"), F.coalesce("_salts", F.lit(1)).alias("_salts")
+    )
+    a = placed.select(
+        paper, F.col(concept).alias("v1"), F.col("_at").alias("_a"),
+        F.pmod(F.xxhash64(concept, "_at"), F.col("_salts")).cast("int").alias("_salt"),
+    )
+    b = placed.select(
+        paper, F.col(concept).alias("v2"), F.col("_at").alias("_b"),
+        F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+    )
+    return a.join(b, [paper, "_salt"]).filter(F.col("_a") < F.col("_b")).select(paper, "v1", "v2")
 
 
 def pair_volume(mentions: DataFrame, paper: str, concept: str, bound: int) -> DataFrame:

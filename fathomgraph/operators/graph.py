@@ -96,12 +96,16 @@ def pagerank(
     state = durable(
         deg.select("*", *[F.lit(1.0 / n).alias(c) for y in years for c in (f"pr{y}", f"lr{y}")]), "rank"
     )
+    # The edges stay partitioned by source in executor memory or disk: a step moves ranks, never edges. What an executor
+    # held is read again if it is lost.
+    parts = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = adj.repartition(parts, "src").persist()
     running = list(years)
     for _ in range(max_iterations):
         shares = state.select(
             F.col(v).alias("src"), *[F.when(F.col(f"d{y}") > 0, F.col(f"pr{y}") / F.col(f"d{y}")).alias(f"s{y}") for y in running]
         )
-        inflow = adj.join(shares, "src").groupBy(F.col("dst").alias(v)).agg(
+        inflow = edges.join(shares, "src").groupBy(F.col("dst").alias(v)).agg(
             *[F.sum(F.when(known_in(y), F.col(f"s{y}"))).alias(f"in{y}") for y in running]
         )
         base = (1 - damping) / n
@@ -123,9 +127,9 @@ def pagerank(
             running = [y for y in running if not drift[f"e{y}"] < n * tolerance]
             if not running:
                 break
-    else:
-        if tolerance > 0:
-            raise RuntimeError(f"no convergence in {max_iterations} steps for the years {running}")
+    edges.unpersist()
+    if running and tolerance > 0:
+        raise RuntimeError(f"no convergence in {max_iterations} steps for the years {running}")
     return state.select(v, *[f"pr{y}" for y in years])
 
 
@@ -144,7 +148,7 @@ def shared_neighbours(pairs: DataFrame, adj: DataFrame, degree: DataFrame, years
     lists its whole neighbourhood against a small vertex. Neighbours of large vertices are split by salt.
     """
     last = max(years)
-    d = broadcast_if_small(degree.select("v1", F.col(f"d{last}").alias("_d")))
+    d = broadcast_if_small(durable(degree.select("v1", F.col(f"d{last}").alias("_d")), "degree"))
     sized = pairs.select("v1", "v2").join(d, "v1").join(
         d.select(F.col("v1").alias("v2"), F.col("_d").alias("_e")), "v2"
     )

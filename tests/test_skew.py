@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomgraph.operators import evaluate, graph, match, ordered, ranking
-from fathomgraph.operators.cooccur import cooccurrence
+from fathomgraph.operators.cooccur import cooccurrence, cooccurrence_occurrences
 from fathomgraph.session import shared_path
 from fathomgraph.streaming.ingest import file_report, ingest_new_files
 
@@ -24,6 +24,14 @@ def test_large_paper_is_paired_block_by_block(spark):
     assert len(got) == len(expected) and set(got) == expected
 
 
+def test_occurrence_pairs_of_a_large_paper(spark):
+    random.seed(6)
+    rows = [(0, random.randrange(9), k) for k in range(70)] + [(1, 4, 0), (1, 4, 1), (1, 2, 2)]
+    df = spark.createDataFrame(rows, "paper int, v int, at int")
+    got = sorted(tuple(r) for r in cooccurrence_occurrences(df, "paper", "v", ["at"], block=8).collect())
+    assert got == sorted((p, v, w) for p, v, a in rows for q, w, b in rows if p == q and a < b)
+
+
 def brute(texts, words, whole):
     bounds = " ,.;:!?()[]{}\"'-\n\t\r"
     out = set()
