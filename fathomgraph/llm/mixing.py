@@ -6,8 +6,8 @@ convex dual, whose gradient and Hessian are one row per source, summed by Spark
 each Newton step is kept inside a bracket of the root, as rates at the cap have no slope.
 
 Rates become copies by cumulative rounding along descending size inside each source, in whole numbers (rates are
-multiples of ``1/UNIT``): the taken words of a source miss its target by at most half its largest document, plus what
-the unit rounds off.
+multiples of ``1/UNIT``): the taken words of a source miss its target by at most its largest document, plus what the
+unit rounds off, and mostly by far less, as the best of several beginnings of the rounding is taken.
 
 Cases: a null text has size 0 (it takes 0 words, whatever its rate); a null
 source is a source of its own, last; repeated rows are documents of their own; a source without words has target 0; an
@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Rates are whole multiples of 1 / UNIT.
 UNIT = 1 << 20
+#: Places at which the cumulative rounding may begin.
+SHIFTS = 32
 TOLERANCE = 1e-9
 
 
@@ -127,10 +129,23 @@ def mix_sources(
     rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     rows = durable(rows.select("doc_id", "source", "size", "source_size", "target", "source_start", units.alias("units")), "rates")
     order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id")]
-    placed = with_running(rows, order, ["units"])
-    start = F.col("units_before") - F.col("source_start") + F.lit(UNIT // 2)
-    copies = F.shiftright(start + F.col("units"), UNIT.bit_length() - 1) - F.shiftright(start, UNIT.bit_length() - 1)
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("units") / UNIT).alias("rate"), copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+    placed = durable(with_running(rows, order, ["units"]), "placed")
+
+    def copies(shift: Column) -> Column:
+        start = F.col("units_before") - F.col("source_start") + shift
+        bits = UNIT.bit_length() - 1
+        return F.shiftright(start + F.col("units"), bits) - F.shiftright(start, bits)
+
+    # any shift of the rounding keeps the bound; of SHIFTS of them, each source gets the one that comes nearest its target
+    shifts = [k * UNIT // SHIFTS for k in range(SHIFTS)]
+    taken = placed.groupBy("source").agg(
+        F.first("target").alias("target"), *[F.sum(copies(F.lit(x)) * F.col("size")).alias(f"t{x}") for x in shifts]
+    )
+    misses = F.array(*[F.struct(F.abs(F.col(f"t{x}") - F.col("target")).alias("miss"), F.lit(x).cast("long").alias("shift")) for x in shifts])
+    best = durable(taken.select("source", F.array_min(misses)["shift"].alias("shift")), "shifts")
+    out = placed.join(best, placed["source"].eqNullSafe(best["source"])).drop(best["source"])
+    out = out.withColumn("copies", copies(F.col("shift")))
+    return out.select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("units") / UNIT).alias("rate"), "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
     )
