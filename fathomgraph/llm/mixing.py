@@ -7,7 +7,8 @@ each Newton step is kept inside a bracket of the root, as rates at the cap have
 
 Rates become copies by cumulative rounding along descending size inside each source, in whole numbers (rates are
 multiples of ``1/UNIT``): the taken words of a source miss its target by at most its largest document, plus what the
-unit rounds off, and mostly by far less, as the best of several beginnings of the rounding is taken.
+unit rounds off; the best of several beginnings of the rounding, and one document with a copy more or less, leave a few
+words in most cases.
 
 Cases: a null text has size 0 (it takes 0 words, whatever its rate); a null
 source is a source of its own, last; repeated rows are documents of their own; a source without words has target 0; an
@@ -113,7 +114,9 @@ def mix_sources(
 
     Documents without words get the rate 1 unless their source is at its cap.
     """
-    sizes = public_columns(docs, doc_id=doc_id, source=source, text=text).select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sizes = public_columns(docs, doc_id=doc_id, source=source, text=text).select(
+        "doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size")
+    )
     sizes = durable(sizes, "sizes")  # numbers only; the ranges below are found by sampling them
     histogram = durable(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     solved = solve_tilts(histogram, source_targets(sizes, weights, cap), cap)
@@ -127,9 +130,9 @@ def mix_sources(
     plan = durable(solved.join(totals, solved["source"].eqNullSafe(totals["source"])).drop(totals["source"]), "mix-plan")
 
     rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    rows = durable(rows.select("doc_id", "source", "size", "source_size", "target", "source_start", units.alias("units")), "rates")
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id")]
-    placed = durable(with_running(rows, order, ["units"]), "placed")
+    rows = durable(rows.select("doc_id", "source", "text_key", "size", "source_size", "target", "source_start", units.alias("units")), "rates")
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_key")]
+    placed = durable(with_running(rows, order, ["units"]).withColumn("row", F.monotonically_increasing_id()), "placed")
 
     def copies(shift: Column) -> Column:
         start = F.col("units_before") - F.col("source_start") + shift
@@ -141,11 +144,33 @@ def mix_sources(
     taken = placed.groupBy("source").agg(
         F.first("target").alias("target"), *[F.sum(copies(F.lit(x)) * F.col("size")).alias(f"t{x}") for x in shifts]
     )
-    misses = F.array(*[F.struct(F.abs(F.col(f"t{x}") - F.col("target")).alias("miss"), F.lit(x).cast("long").alias("shift")) for x in shifts])
-    best = durable(taken.select("source", F.array_min(misses)["shift"].alias("shift")), "shifts")
-    out = placed.join(best, placed["source"].eqNullSafe(best["source"])).drop(best["source"])
-    out = out.withColumn("copies", copies(F.col("shift")))
+    misses = F.array(*[
+        F.struct(F.abs(F.col(f"t{x}") - F.col("target")).alias("miss"), F.lit(x).cast("long").alias("shift"), (F.col("target") - F.col(f"t{x}")).alias("short")) for x in shifts
+    ])
+    best = durable(taken.select("source", F.array_min(misses).alias("b")).select("source", "b.shift", "b.short"), "shifts")
+    out = placed.join(best, placed["source"].eqNullSafe(best["source"])).drop(best["source"]).withColumn("copies", copies(F.col("shift")))
+
+    # then one document of each source, of the size that is nearest what is still missing, gets a copy more or less
+    change = F.when(F.col("short") > 0, 1).otherwise(-1)
+    fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("short")) & (F.col("copies") + change).between(0, cap)
+    last = out.filter(fits).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("short")).alias("rest"), "row", change.alias("change"))).alias("m"))
+    last = durable(last.select(F.col("m.row").alias("row"), F.col("m.change").alias("change")), "last-copies")
+    out = out.join(last, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
     return out.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("units") / UNIT).alias("rate"), "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        (F.col("copies") * F.col("size")).alias("taken"), "text_key",
     )
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it. Rows equal in id, source and text are one row first, with the
+    copies of all of them."""
+    keys = ["__mix_id", "__mix_source", "__mix_text"]
+    plan = mix_sources(docs, weights, cap, doc_id, source, text).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("mix_copies"))
+    plan = plan.filter("mix_copies > 0").toDF("__plan_id", "__plan_source", "__plan_text", "__mix_copies")
+    rows = docs.withColumns({"__mix_id": F.col(doc_id), "__mix_source": F.col(source), "__mix_text": F.xxhash64(text)}).dropDuplicates(keys)
+    same = F.col("__mix_id").eqNullSafe(F.col("__plan_id")) & F.col("__mix_source").eqNullSafe(F.col("__plan_source")) & F.col("__mix_text").eqNullSafe(F.col("__plan_text"))
+    repeated = rows.join(plan, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

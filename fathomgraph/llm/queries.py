@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, planes
+from . import jaccard, licenses, mixing, packing, pii, pivots, planes, quality, secrets, warc
 from .common import table
 from .tokens import vocabulary_path
 
@@ -37,3 +37,82 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_token_digests(planes.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
+def _joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(
+        "doc_id", *[_count("base", k) for k in pii.BASE_KINDS], F.sha2(_joined_spans(F.col("base")), 256).alias("base_sha256"),
+        _joined_spans(F.concat(plain("base"), plain("added"))).alias("spans"),
+    )
+
+
+@query
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id", *[_count("spans", k) for k in secrets.KINDS[:3]], F.sha2(_joined_spans(base), 256).alias("base_sha256"),
+        _joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_archive_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+ORACLES["op10_archive_conversion"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+FROM m"""
+
+ORACLES["op4_pivot_near_duplicates"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98
+),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+roots AS (SELECT vec_id, min(other) AS root FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(r.root, e.vec_id)) AS component_id,
+    e.vec_id = least(e.vec_id, coalesce(r.root, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c USING (vec_id) LEFT JOIN roots r USING (vec_id)"""
