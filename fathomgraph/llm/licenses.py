@@ -123,7 +123,14 @@ def _words(text: Column) -> Column:
 def _shingles(words: Column) -> Column:
     """64-bit hashes of the shingles in order; none for fewer than five words."""
     at = F.sequence(F.lit(0), F.size(words) - N)
-    return F.when(F.size(words) >= N, F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, N), " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    # by element, as a slice reads its whole array
+    hashed = F.transform(F.array(words), lambda w: F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(N)])))
+    return F.when(F.size(words) >= N, F.flatten(hashed)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _window(at: Column, inside: int) -> Column:
+    held = F.transform(F.sequence(F.lit(0), F.lit(inside - 1)), lambda k: F.get("shingles", at + k))
+    return F.struct(at.alias("at"), F.filter(held, lambda h: h.isNotNull()).alias("held"))
 
 
 def _minhashes(shingles: Column, bands: int) -> Column:
@@ -151,8 +158,8 @@ def scan_licenses(
         bands = known.filter(F.col("license").isin(names)).select("license", "wanted", F.posexplode(_minhashes(F.col("wanted"), w.bands)).alias("band", "value"))
         inside = w.length - N + 1
         starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - inside + w.stride - 1, F.lit(0)), F.lit(w.stride))
-        windows = rows.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("shingles", i + 1, inside).alias("held")))).alias("w"))
-        windows = windows.select("doc_id", "w.at", "w.held").filter(F.size("held") > 0)
+        windows = rows.select("doc_id", F.explode(F.transform(starts, lambda i: _window(i, inside))).alias("w"))
+        windows = windows.select("doc_id", "w.at", "w.held")
         dealt = windows.select("doc_id", "at", "held", F.posexplode(_minhashes(F.col("held"), w.bands)).alias("band", "value"))
         met = dealt.join(bands, ["band", "value"])
         share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")

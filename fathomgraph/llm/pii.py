@@ -86,18 +86,23 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def _placed(steps: Column) -> Column:
+    """Places from steps. Elements are read one by one, as a slice reads its whole array."""
+    within = F.sequence(F.lit(0), F.lit(63))
+
     def with_blocks(blocks: Column) -> Column:
         def place(s: Column, i: Column) -> Column:
-            block = F.floor(i / 64).cast("int")
-            start = _sum(F.slice(blocks, F.lit(1), block)) + _sum(F.transform(F.slice(steps, block * 64 + 1, i % 64), lambda x: x["step"])) + s["gap"]
+            block, rest = F.floor(i / 64).cast("int"), (i % 64).cast("int")
+            earlier = F.aggregate(F.sequence(F.lit(0), block), F.lit(0).cast("long"), lambda a, k: a + F.when(k < block, F.get(blocks, k)).otherwise(0))
+            inside = F.aggregate(F.sequence(F.lit(0), rest), F.lit(0).cast("long"), lambda a, k: a + F.when(k < rest, F.get(steps, block * 64 + k)["step"]).otherwise(0))
+            start = earlier + inside + s["gap"]
             return F.struct(start.alias("start"), (start + F.length(s["match"])).alias("end"), s["match"].alias("match"))
 
         return F.transform(steps, place)
 
     numbers = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / 64).cast("int"))
-    blocks = F.transform(numbers, lambda b: _sum(F.transform(F.slice(steps, b * 64 + 1, F.lit(64)), lambda x: x["step"])))
-    empty = F.slice(F.transform(steps, lambda s: F.struct(s["step"].alias("start"), s["step"].alias("end"), s["match"].alias("match"))), 1, 0)
-    return F.when(F.size(steps) > 0, F.flatten(F.transform(F.array(blocks), with_blocks))).otherwise(empty)
+    blocks = F.transform(numbers, lambda b: _sum(F.transform(within, lambda k: F.coalesce(F.get(steps, b * 64 + k)["step"], F.lit(0).cast("long")))))
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, match: string>>)")
+    return F.when(F.size(steps) > 0, F.flatten(F.transform(F.array(blocks), with_blocks))).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
