@@ -22,8 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select("b", "a"))
         parents = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("parent")), "parents")
         while True:
-            x, y = parents.select("node", "parent"), parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            jumped = durable(x.join(y, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
+            above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            jumped = parents.select("node", "parent", F.col("parent").alias("before"))
+            for _ in range(2):  # two jumps in a job
+                jumped = jumped.join(above, "parent").select("node", F.col("above").alias("parent"), "before")
+            jumped = durable(jumped.select("node", "parent", (F.col("parent") != F.col("before")).alias("moved")), "parents")
             discard(parents)
             parents = jumped
             if parents.filter("moved").isEmpty():

@@ -6,15 +6,17 @@ Documents with the same set of shingles are one class, found by a 128-bit finger
   ``ceil(t * (k + l) / (1 + t))`` shingles are exactly the pairs that link.
 * Large sets (heavy) post their prefix, the ``k - ceil(t * k) + 1`` first shingles in an order common to all sets; two
   sets that link share a posted shingle. Their inverted lists are scanned for candidates, which are then verified on whole
-  sets. The order puts frequent shingles last: a bitmap of at most 2**24 bits marks those that tasks met often. Any
-  bitmap gives the same links; a good one gives short lists.
+  sets. The order goes by level of frequency, the frequent last: an array of at most 2**23 levels (the logarithm of how
+  often tasks met a shingle's slot). Any array gives the same links; a good one gives short lists.
 * The boundary is the size of least estimated cost, from the counts of the set sizes; small sets that may link with large
   ones post a prefix too.
 
-A list is never expanded into all its pairs. In rounds, the smallest member of each list that still spans two components
-is compared with its other members, and leaves the list; members that are in one component by then need no comparing.
-Lists of at most ``SHORT`` members that still span components after the first round are finished by comparing the pairs
-between components. The rounds end when no list spans two components, so no link between components is lost.
+A list is never expanded into all its pairs. In rounds, the smallest member of each list that still spans two components,
+its hub, is compared with the other members, and leaves the list; members of one component need no comparing. With the hub
+leave those of its component whose distance to it is so small that, by the triangle inequality of the Jaccard distance, no
+member of another component can link with them. Lists of at most ``SHORT`` members that still span components after the
+first round are finished by comparing the pairs between components. The rounds end when no list spans two components, so
+no link between components is lost.
 
 Postings travel as blocks of numbers by hash bucket; frequent shingles are spread over buckets by set as well, so that a
 list of any length meets no single task.
@@ -46,8 +48,8 @@ LARGEST_LIGHT = 32
 SLICE = 16_000_000
 BUCKET_CHARS = 16_000_000
 LEAST_BUCKETS = 256
-#: A shingle that tasks met at least this often, in slices that met it twice, is marked as frequent.
-FREQUENT = 8
+#: Slots that tasks met less often, counting slices that met a shingle twice, have level 0.
+FREQUENT = 4
 
 
 def shingles(data: np.ndarray, n: int = 5) -> np.ndarray:
@@ -134,8 +136,8 @@ def _summaries(n: int, slots: int):
     return run
 
 
-def _postings(n: int, percent: int, boundary: int, frequent: np.ndarray, buckets: int):
-    slots = np.uint64(len(frequent))
+def _postings(n: int, percent: int, boundary: int, levels: np.ndarray, buckets: int):
+    slots = np.uint64(len(levels))
 
     def tokens(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Posted tokens of a set, and which of them are frequent."""
@@ -147,11 +149,9 @@ def _postings(n: int, percent: int, boundary: int, frequent: np.ndarray, buckets
                     out.append(mix(np.array(sums, dtype=np.uint64) ^ np.uint64(min(k, l) << 32 | max(k, l))))
         light = np.concatenate(out) if out else np.zeros(0, np.uint64)
         if k > boundary or partner_sizes(k, percent)[-1] > boundary:
-            often = frequent[(found % slots).astype(np.int64)]
-            rest = prefix_length(k, percent)
-            rare, common = found[~often][:rest], found[often]
-            common = common[: rest - len(rare)]
-            return np.concatenate([light, rare, common]), np.r_[np.zeros(len(light) + len(rare), bool), np.ones(len(common), bool)]
+            level = levels[(found % slots).astype(np.int64)]
+            first = np.argsort(level, kind="stable")[: prefix_length(k, percent)]
+            return np.concatenate([light, found[first]]), np.r_[np.zeros(len(light), bool), level[first] > 0]
         return light, np.zeros(len(light), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +169,8 @@ def _postings(n: int, percent: int, boundary: int, frequent: np.ndarray, buckets
             if not token:
                 continue
             token, node, often = np.concatenate(token), np.concatenate(node), np.concatenate(often)
+            if not len(token):
+                continue
             with np.errstate(over="ignore"):
                 spread = np.where(often, mix(token ^ mix(node.view(np.uint64))), mix(token))
             bucket = (spread % np.uint64(buckets)).astype(np.int32)
@@ -208,44 +210,47 @@ def _sets(n: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            linked, distance = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                distance.append(1 - common / (len(both) - common))
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "distance"])
 
     return run
 
 
-def _bitmap(slot_counts: DataFrame, slots: int) -> np.ndarray:
-    """Marks of frequent slots; at most ``slots / 64`` rows of 64 marks reach the driver."""
+def _levels(slot_counts: DataFrame, slots: int) -> np.ndarray:
+    """Level of each slot, from 0 to 15; at most ``slots / 16`` rows of 16 levels reach the driver."""
     often = slot_counts.groupBy("slot").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    words = often.groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
-    marks = np.zeros(slots // 64, dtype=np.int64)
-    for word, bits in words:
-        marks[word] = bits
-    return np.unpackbits(marks.view(np.uint8), bitorder="little").astype(bool)
+    level = F.least(F.lit(15), F.floor(F.log2("times")) - 1).cast("long")
+    placed = often.select((F.col("slot") / 16).cast("int").alias("word"), level.alias("level"), (F.col("slot") % 16 * 4).cast("int").alias("shift"))
+    words = placed.groupBy("word").agg(F.bit_or(F.expr("shiftleft(level, shift)")).alias("levels")).toArrow()
+    packed = np.zeros(slots // 16, dtype=np.int64)
+    packed[words.column("word").to_numpy()] = words.column("levels").to_numpy()
+    halves = packed.view(np.uint8)
+    return np.stack([halves & 15, halves >> 4], axis=1).reshape(-1)
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
     rows = public_columns(docs, doc_id=doc_id, text=text)
     n_docs, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    slots = 1 << min(24, max(16, n_docs.bit_length() + 4))
+    slots = 1 << min(23, max(16, n_docs.bit_length() + 5))
     summary = durable(rows.mapInArrow(_summaries(n, slots), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, slot bigint, times bigint"), "shingle-summaries")
     keyed = summary.filter("slot is null").select("doc_id", "n_shingles", "hi", "lo")
     real = keyed.filter("n_shingles > 0 and doc_id is not null")
     classes = durable(real.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep")), "shingle-classes")
     small = classes.filter(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n"))
     boundary = choose_boundary({r["n_shingles"]: r["n"] for r in small.collect()}, percent)  # at most 2 * LARGEST_LIGHT rows
-    frequent = _bitmap(summary.filter("slot is not null"), slots)
+    levels = _levels(summary.filter("slot is not null"), slots)
 
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
-    posted = rows.filter("doc_id is not null").mapInArrow(_postings(n, percent, boundary, frequent, buckets), "bucket int, tokens binary, nodes binary, often binary")
+    posted = rows.filter("doc_id is not null").mapInArrow(_postings(n, percent, boundary, levels, buckets), "bucket int, tokens binary, nodes binary, often binary")
     lists = durable(posted.groupBy("bucket").applyInArrow(_lists, "token bigint, node bigint"), "lists")
     # lists of the same members say the same: keep one of each
     alike = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20)")).alias("h2"))
@@ -271,36 +276,52 @@ def _linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     spark = members.sparkSession
     roots = durable(spark.createDataFrame([], "node bigint, root bigint"), "roots")
     links: DataFrame | None = None
-    tried: DataFrame | None = None
-    first = True
+    tried = durable(spark.createDataFrame([], "a bigint, b bigint, linked boolean, distance double"), "checked-pairs")
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    first = True
     while True:
         at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "size", F.coalesce("root", "rep").alias("root"))
         heads = at.groupBy("token").agg(
-            F.min(F.struct("rep", "size", "root")).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
-        ).filter("low < high").select("token", "hub", "n")
+            F.min(F.struct("rep", "size")).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+        ).filter("low < high").select("token", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"), "n")
         open_ = durable(at.join(heads, "token"), "open-lists")
         if open_.isEmpty():
             return roots
         short = F.lit(False) if first else F.col("n") <= SHORT
-        hub = open_.filter(~short & (F.col("root") != F.col("hub.root")) & fits(F.col("size"), F.col("hub.size")))
-        pairs = hub.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
+        pairs = open_.filter(~short & (F.col("rep") != F.col("hub")) & fits(F.col("size"), F.col("hub_size"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         if not first:
             x = open_.filter(short).select("token", F.col("rep").alias("a"), F.col("size").alias("s"), F.col("root").alias("p"))
             y = open_.filter(short).select("token", F.col("rep").alias("b"), F.col("size").alias("t"), F.col("root").alias("q"))
             pairs = pairs.union(x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("s"), F.col("t"))).select("a", "b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
-        checked = durable(checked, "checked-pairs")
-        tried = checked if tried is None else durable(tried.union(checked), "checked-pairs")
-        found = checked.filter("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        following = components(links)
+        pairs = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean, distance double")
+        following = durable(tried.union(checked), "checked-pairs")
+        discard(tried)
+        tried = following
+        following = components(tried.filter("linked").select("a", "b"))
         discard(roots)
         roots = following
-        members = open_.filter(~short & (F.col("rep") != F.col("hub.rep"))).select("token", "rep", "size")
+        members = _left_over(open_.filter(~short), tried, roots, percent)
         first = False
+
+
+def _left_over(lists: DataFrame, tried: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Members (token, rep, size) that may still link with a member of another component, once the hub is compared.
+
+    A member of the hub's component at distance d from the hub is at least ``m - d`` from all members of other
+    components, where m is their least distance to the hub; where that is more than a link allows, it leaves.
+    """
+    known = tried.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance")
+    now = roots.select(F.col("node").alias("rep"), F.col("root").alias("now"))
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_now"))
+    rows = lists.filter(F.col("rep") != F.col("hub")).join(known, ["hub", "rep"], "left").join(now, "rep", "left").join(of_hub, "hub", "left")
+    by_size = 1 - F.least("size", "hub_size") / F.greatest("size", "hub_size")  # not compared, as the sizes differ too much
+    rows = rows.select(
+        "token", "rep", "size", "distance", F.coalesce("distance", by_size).alias("least"),
+        (F.coalesce("now", "rep") == F.coalesce("hub_now", "hub")).alias("same"),
+    )
+    nearest = rows.filter(~F.col("same")).groupBy("token").agg(F.min("least").alias("nearest"))  # lists of one component end here
+    safe = F.col("same") & (F.col("nearest") - F.col("distance") > 1 - percent / 100 + 1e-9)
+    return rows.join(nearest, "token").filter(~F.coalesce(safe, F.lit(False))).select("token", "rep", "size")
