@@ -36,6 +36,8 @@ REACH = 6.0
 TYPICAL_SYMBOLS = 1500
 MIN_BAND_DOCS = 20
 MIN_SPREAD = 0.02
+#: A task sends its counts after so many slices of text (of 4 MB), which bounds what it holds.
+SLICES = 2
 
 _MARKS = " .,;:!?'\"-()0#*$%&|<>/@=_+[]"  # classes after the letters; all digits share the class of 0
 
@@ -84,7 +86,12 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+    slices = 0
     for batch in text_slices(batches, "text"):
+        slices += 1
+        if slices > SLICES:
+            yield from _counted(held)
+            held, slices = {}, 1
         texts: dict[str | None, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if text:
@@ -92,8 +99,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, codes in texts.items():
             parts = held.setdefault(lang, [])
             parts.append(np.unique(np.concatenate(codes), return_counts=True))
-            if len(parts) > 8:
-                held[lang] = [_merge(parts)]
+    yield from _counted(held)
+
+
+def _counted(held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
     for lang, parts in held.items():
         codes, counts = _merge(parts)
         yield pa.RecordBatch.from_arrays(
@@ -117,33 +126,24 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     levels: dict[int, DataFrame] = {ORDER: counts.select("lang", "code", "n")}
     for k in range(ORDER - 1, 0, -1):
         tail = F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        levels[k] = levels[k + 1].groupBy("lang", tail.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = durable(levels[k + 1].groupBy("lang", tail.alias("code")).agg(F.count(F.lit(1)).alias("n")), "continuations")
     lower: DataFrame | None = None
     out: list[DataFrame] = []
     for k in range(1, ORDER + 1):
-        grams_k = levels[k]
-        of = [F.sum((F.col("n") == c).cast("double")).alias(f"t{c}") for c in (1, 2, 3, 4)]
-        y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
-        # where counts of counts are missing, discounts that leave a count some mass
-        bounded = lambda d, c, least: F.greatest(F.lit(0.1 * c), F.least(F.coalesce(d, F.lit(least)), F.lit(0.95 * c)))
-        discounts = grams_k.groupBy("lang").agg(*of).select(
-            "lang",
-            *[bounded(c - (c + 1) * y * F.col(f"t{c + 1}") / F.nullif(F.col(f"t{c}"), F.lit(0.0)), c, 0.5 * c).alias(f"d{c}") for c in (1, 2, 3)],
-        )
-        context = F.shiftrightunsigned("code", BITS)
-        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = grams_k.join(discounts, "lang").withColumns({"context": context, "cut": discount})
-        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        rows = rows.join(sums, ["lang", "context"])
+        rows = levels[k].join(_discounts(levels[k]), "lang")
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = durable(rows.select("lang", "code", "n", F.shiftrightunsigned("code", BITS).alias("context"), cut.alias("cut")), "cut-counts")
+        sums = durable(rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed")), "contexts")
         own, freed = (F.col("n") - F.col("cut")) / F.col("total"), F.col("freed") / F.col("total")
+        rows = rows.join(sums, ["lang", "context"])
         if lower is None:
             rows = rows.withColumn("p", own + freed / SYMBOLS)
         else:
             shorter = lower.select("lang", F.col("code").alias("tail"), F.col("p").alias("q"))
             rows = rows.withColumn("tail", F.col("code").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(shorter, ["lang", "tail"])
             rows = rows.withColumn("p", own + freed * F.col("q"))
-        lower = rows.select("lang", "code", "p")
-        out.append(rows.select("lang", F.lit(k).alias("level"), "code", F.log("p").cast("float").alias("value")))
+        lower = durable(rows.select("lang", "code", "p"), "probabilities")
+        out.append(lower.select("lang", F.lit(k).alias("level"), "code", F.log("p").cast("float").alias("value")))
         weight = F.log(F.col("freed") / F.col("total")).cast("float").alias("value")
         out.append(sums.select("lang", F.lit(-k).alias("level"), F.col("context").alias("code"), weight))
     whole = out[0]
@@ -152,6 +152,18 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return whole
 
 
+def _discounts(grams: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): three discounts from the counts of counts; where those are missing, half of the count."""
+    y = F.col("t1") / F.nullif(F.col("t1") + 2 * F.col("t2"), F.lit(0.0))
+
+    def discount(c: int):
+        value = c - (c + 1) * y * F.col(f"t{c + 1}") / F.nullif(F.col(f"t{c}"), F.lit(0.0))
+        return F.greatest(F.lit(0.1 * c), F.least(F.coalesce(value, F.lit(0.5 * c)), F.lit(0.95 * c))).alias(f"d{c}")
+
+    counted = grams.groupBy("lang").agg(*[F.sum((F.col("n") == c).cast("double")).alias(f"t{c}") for c in (1, 2, 3, 4)])
+    return counted.select("lang", *[discount(c) for c in (1, 2, 3)])
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> str:
     """Count, fit and store a model of each language; returns the folder."""
     counts = durable(gram_counts(public_columns(docs, lang=lang, text=text)), "gram-counts")

@@ -101,7 +101,7 @@ def test_model_equals_a_plain_one(spark):
 
 def test_bands_reject_strange_texts_and_keep_the_rest(spark):
     texts = [("en", t) for t in sentences(2, 150, EN)] + [("de", t) for t in sentences(3, 60, DE)]
-    odd = [("en", "qx zvk wjq " * 3 + "kqz jxv qqw zzk vjx kwq xzj qvk wxz jkq zvw xqj kzv"), ("en", sentences(4, 1, DE)[0]), ("de", "a " * 12 + "b c d e f g")]
+    odd = [("en", "qx zvk wjq " * 3 + "kqz jxv qqw zzk vjx kwq xzj qvk wxz jkq zvw xqj kzv"), ("en", " ".join(sentences(4, 8, DE))), ("de", "a " * 12 + "b c d e f g")]
     rows = [(k, t, lang, "s") for k, (lang, t) in enumerate(texts + odd)]
     got = {r["doc_id"]: r for r in quality.score_documents(documents(spark, rows)).collect()}
     assert all(got[k]["kept"] for k in range(len(texts)))
