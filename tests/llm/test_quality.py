@@ -101,11 +101,15 @@ def test_model_equals_a_plain_one(spark):
 
 def test_bands_reject_strange_texts_and_keep_the_rest(spark):
     texts = [("en", t) for t in sentences(2, 150, EN)] + [("de", t) for t in sentences(3, 60, DE)]
-    odd = [("en", "qx zvk wjq " * 3 + "kqz jxv qqw zzk vjx kwq xzj qvk wxz jkq zvw xqj kzv"), ("en", " ".join(sentences(4, 8, DE))), ("de", "a " * 12 + "b c d e f g")]
+    rng = random.Random(6)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0+/", k=7)) for _ in range(150))
+    odd = [("en", noise), ("en", " ".join(f"{'thethe'[: 1 + k % 5]}" + "e" * (k + 3) for k in range(60))), ("de", "a " * 12 + "b c d e f g")]
     rows = [(k, t, lang, "s") for k, (lang, t) in enumerate(texts + odd)]
     got = {r["doc_id"]: r for r in quality.score_documents(documents(spark, rows)).collect()}
     assert all(got[k]["kept"] for k in range(len(texts)))
-    assert not got[len(texts)]["kept"] and not got[len(texts) + 1]["kept"]
+    high, low = got[len(texts)], got[len(texts) + 1]
+    assert not high["base_failed"] and high["perplexity"] > high["upper"] and not high["kept"]
+    assert not low["base_failed"] and low["perplexity"] < low["lower"] and not low["kept"]
     for k, text, _, _ in rows:
         r = got[k]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_figures(text)
