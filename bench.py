@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from fathomgraph.plans import catalog
@@ -29,7 +30,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "16g", "spark.ui.enabled": "false",
-            "spark.ui.showConsoleProgress": "false",
+            "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="run-", dir="/tmp"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .ordered import with_rank, with_running
 
 
@@ -18,6 +19,11 @@ def shuffle_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def shuffled(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
+    """All rows with ``place``, their rank in a random order that can be repeated."""
+    return with_rank(df.withColumn("_key", shuffle_key(seed, *keys)), ["_key", *keys], "place").drop("_key")
+
+
 def exact_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
     """Exactly min(n, rows) rows, picked by random order; no task or driver holds the sample."""
     ranked = with_rank(df.withColumn("_key", shuffle_key(seed, *keys)), ["_key", *keys], "_rank")
@@ -25,7 +31,10 @@ def exact_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataF
 
 
 def two_class_subsets(labelled: DataFrame, label: str, seed: int, keys: Sequence[str], limit: int = 30_000_000) -> DataFrame:
-    """All positives, and all negatives unless they are more than ``limit``: then as many as there are positives."""
+    """All positives, and all negatives unless they are more than ``limit``: then as many as there are positives.
+
+    ``limit`` bounds the labelled rows that a classifier is fitted on.
+    """
     counts = labelled.agg(
         F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")
     ).first()
@@ -40,7 +49,7 @@ def split_per_class(df: DataFrame, label: str, seed: int, keys: Sequence[str], s
     sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("_train"))
     ranked = with_rank(df.withColumn("_key", shuffle_key(seed, *keys)), ["_key", *keys], "_rank", group=[label])
     return (
-        ranked.join(sizes, label)
+        ranked.join(F.broadcast(sizes), label)  # one row per class
         .withColumn("part", F.when(F.col("_rank") <= F.col("_train"), "train").otherwise("test"))
         .drop("_key", "_rank", "_train")
     )
@@ -79,12 +88,23 @@ def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, score: str, citation: str, part: str, thresholds: Sequence[int] = range(1, 41)) -> DataFrame:
-    """(part, ir, auc) for every threshold. Counts are made per distinct score, so no row is repeated per threshold."""
-    positive = {str(t): F.col(citation) >= t for t in thresholds}
-    wide = _counts(df, score, positive, [part]).groupBy(part).agg(*[_auc(n).alias(f"a{n}") for n in positive])
-    return wide.select(
-        part, F.inline(F.array(*[F.struct(F.lit(int(n)).alias("ir"), F.col(f"a{n}").alias("auc")) for n in positive]))
-    )
+    """(part, ir, auc) for every threshold, from one average rank per (part, score).
+
+    The rank of a score does not depend on the threshold: with R the sum of the ranks of the p rows at or above it, of n,
+    the area is (R - p (p + 1) / 2) / (p (n - p)).
+    """
+    rows = durable(df.select(part, score, citation), "sweep")
+    above = {t: F.count_if(F.col(citation) >= t) for t in thresholds}
+    per_score = rows.groupBy(part, score).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_p{t}") for t, c in above.items()])
+    ranked = with_running(durable(per_score, "sweep-scores"), [score], ["_n"], group=[part])
+    rank = F.col("_n_before") + (F.col("_n") + 1) / 2
+    sums = ranked.groupBy(part).agg(F.sum("_n").alias("n"), *[x for t in above for x in (F.sum(f"_p{t}").alias(f"p{t}"), F.sum(F.col(f"_p{t}") * rank).alias(f"r{t}"))])
+
+    def area(t: int) -> Column:
+        p = F.col(f"p{t}").cast("double")
+        return F.struct(F.lit(int(t)).alias("ir"), ((F.col(f"r{t}") - p * (p + 1) / 2) / F.nullif(p * (F.col("n") - p), F.lit(0.0))).alias("auc"))
+
+    return sums.select(part, F.inline(F.array(*[area(t) for t in above])))
 
 
 def report_lines(sweep: DataFrame, part: str = "part") -> DataFrame:

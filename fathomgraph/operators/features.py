@@ -100,8 +100,11 @@ def raw_pair_features(pairs: DataFrame, adj: DataFrame, vertices: DataFrame, ver
     ``vertex`` is the unscaled vertex table; it already holds the degrees and citation counts of the three years.
     """
     years = [year, year - 1, year - 2]
-    degree = degrees(adj, vertices, years)
-    counted = shared_neighbours(pairs, adj, degree, years)
+    return _with_features(shared_neighbours(pairs, adj, degrees(adj, vertices, years), years), vertex, years)
+
+
+def _with_features(counted: DataFrame, vertex: DataFrame, years: Sequence[int]) -> DataFrame:
+    """The wide rows of pairs with their shared neighbours (v1, v2, n<year>)."""
     side = broadcast_if_small(vertex)
     a = side.select(F.col("v1"), *[F.col(n).alias(f"a_{n}") for n in VERTEX_NAMES])
     b = side.select(F.col("v1").alias("v2"), *[F.col(n).alias(f"b_{n}") for n in VERTEX_NAMES])
@@ -140,6 +143,9 @@ def pair_feature_matrix(
         vertex_features(node_features(adj, vertices, year, **rank_options), node_citation_features(node_table, year)), "vertex"
     )
     vertex_max = maxima(vertex, VERTEX_NAMES)
-    raw = durable(raw_pair_features(pairs, adj, vertices, vertex, year), "pairs")
+    # only the shared neighbours are written; the wide rows are joined again, for the maxima and for the result
+    years = [year, year - 1, year - 2]
+    counted = durable(shared_neighbours(pairs, adj, degrees(adj, vertices, years), years), "pairs")
+    raw = _with_features(counted, vertex, years)
     used = pair_max if pair_max is not None else maxima(raw, YEARLY_NAMES)
     return feature_matrix(raw, vertex_max, used), used

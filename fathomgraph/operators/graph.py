@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import cutoff_day
-from ..session import BROADCAST_ROWS, broadcast_if_small, durable
-from .ordered import with_rank
+from ..session import broadcast_if_small, discard, durable
 
 
 def first_seen(edges: DataFrame) -> DataFrame:
@@ -110,7 +109,7 @@ def pagerank(
         )
         base = (1 - damping) / n
         moved = state.join(inflow, v, "left")
-        state = durable(
+        following = durable(
             moved.select(
                 v, *[f"d{y}" for y in years], *[f"{c}{y}" for y in years if y not in running for c in ("pr", "lr")],
                 *[
@@ -122,6 +121,8 @@ def pagerank(
             ),
             "rank",
         )
+        discard(state)
+        state = following
         if tolerance > 0:
             drift = state.agg(*[F.sum(F.abs(F.col(f"pr{y}") - F.col(f"old{y}"))).alias(f"e{y}") for y in running]).first()
             running = [y for y in running if not drift[f"e{y}"] < n * tolerance]
@@ -195,36 +196,42 @@ def active_vertices(pairs: DataFrame, cutoff: int = 1) -> DataFrame:
     )
 
 
-def vertex_combinations(vertices: DataFrame, v: str = "v") -> DataFrame:
-    """All v1 < v2 combinations, generated rather than joined.
+def sharing_pairs(adj: DataFrame, year: int, block: int = 256) -> DataFrame:
+    """(v1, v2, shared), v1 < v2: pairs with a neighbour in common in the year, and how many they share.
 
-    The vertices are numbered once; combination number k is turned into its two numbers by arithmetic, so the
-    n(n-1)/2 results are spread evenly over tasks by ``range`` whatever the vertices look like.
+    The neighbours of a hub are dealt into blocks of about ``block`` by hash, and each pair of blocks is a row of its own
+    to the join, so that no task lists all pairs around a hub. Counts are combined before the shuffle.
     """
-    numbered = with_rank(vertices.select(F.col(v).alias("v")), ["v"], "_no").select("v", (F.col("_no") - 1).alias("_no"))
-    numbered = durable(numbered, "numbered")
-    n = numbered.count()
-    k = F.col("id")
-    guess = F.floor((1 + F.sqrt(1 + 8 * k.cast("double"))) / 2).cast("bigint")
-    space = vertices.sparkSession.range(0, n * (n - 1) // 2).select(k, guess.alias("_g"))
-    # Rounding of the square root may be off by one; integer arithmetic puts it right.
-    exact = (
-        F.when(F.expr("_g * (_g - 1) div 2") > k, F.col("_g") - 1)
-        .when(F.expr("_g * (_g + 1) div 2") <= k, F.col("_g") + 1)
-        .otherwise(F.col("_g"))
-    )
-    ends = space.select(k, exact.alias("_j")).select((k - F.expr("_j * (_j - 1) div 2")).alias("_i"), "_j")
-    side = F.broadcast(numbered) if n <= BROADCAST_ROWS else numbered
-    return (
-        ends.join(side.select(F.col("_no").alias("_i"), F.col("v").alias("v1")), "_i")
-        .join(side.select(F.col("_no").alias("_j"), F.col("v").alias("v2")), "_j")
-        .select("v1", "v2")
-    )
-
-
-def unconnected_pairs(combinations: DataFrame, connected: DataFrame) -> DataFrame:
-    """Combinations that are not edges, whatever the orientation of the edge."""
-    return canonical(combinations).join(canonical(connected.select("v1", "v2")), ["v1", "v2"], "left_anti")
+    near = adj.filter(known_in(year) & (F.col("src") != F.col("dst"))).select("src", "dst")
+    sizes = near.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    near = near.join(sizes, "src").withColumn("_own", F.pmod(F.xxhash64("dst"), F.col("_blocks")).cast("int"))
+    others = near.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    left = others.select("src", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("dst").alias("v1"))
+    right = others.select("src", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("dst").alias("v2"))
+    return left.join(right, ["src", "_x", "_y"]).filter("v1 < v2").groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def pair_counts(active: DataFrame, connected: DataFrame, sharing: DataFrame) -> DataFrame:
+    """One row: vertices, all pairs of them (by arithmetic), and of those the edges, the open pairs that share a
+    neighbour, and the other open pairs, which are counted and never listed."""
+    n, edges = active.count(), canonical(connected.filter("v1 <> v2")).distinct()
+    open_ = unconnected_pairs(sharing, connected).count()
+    joined = edges.count()
+    row = (n, n * (n - 1) // 2, joined, open_, n * (n - 1) // 2 - joined - open_)
+    return active.sparkSession.createDataFrame([row], "vertices bigint, pairs bigint, connected bigint, sharing bigint, other bigint")
+
+
+def unconnected_pairs(candidates: DataFrame, connected: DataFrame) -> DataFrame:
+    """Candidates that are not edges, whatever the orientation of the edge."""
+    return canonical(candidates.select("v1", "v2")).join(canonical(connected.select("v1", "v2")), ["v1", "v2"], "left_anti")
+
+
+def newly_connected(seen: DataFrame, year: int, later: int) -> DataFrame:
+    """Pairs first seen after ``year`` and by ``later``, with both ends active in ``year``: the open pairs of that year
+    that became edges, read off the edges without listing open pairs."""
+    active = active_vertices(connected_pairs(seen, year)).select("v")
+    fresh = seen.filter(~known_in(year) & known_in(later)).select("v1", "v2")
+    return fresh.join(active.withColumnRenamed("v", "v1"), "v1", "left_semi").join(active.withColumnRenamed("v", "v2"), "v2", "left_semi").select("v1", "v2")
 
 
 def transition(unconnected: DataFrame, later: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def _rebase(df: DataFrame, group: Sequence[str], columns: dict[str, Column]) ->
     if not group:
         return df
     base = df.groupBy(*group).agg(*[F.min(c).alias(f"_base_{n}") for n, c in columns.items()])
-    keyed = df.join(base, list(group))
+    keyed = df.join(F.broadcast(base), list(group))  # one row per group; callers have few groups
     return keyed.withColumns({n: F.col(n) - F.col(f"_base_{n}") for n in columns}).drop(*[f"_base_{n}" for n in columns])
 
 

@@ -13,10 +13,6 @@ from .graph_queries import new_pairs, open_pairs, solution_sets, solutions
 from .inputs import FEATURE_YEARS, LATER, YEAR, r9, sql_cutoff
 from .registry import cte, query
 
-# SQL cannot stop by itself, so the twins run a fixed number of rank steps.
-STEPS = 8
-FIXED = {"tolerance": 0, "max_iterations": STEPS}
-
 # -- vertex features -----------------------------------------------------------------------------------------------
 
 
@@ -30,8 +26,8 @@ cte(
     "vnode_raw",
     f"SELECT d0.v1, {_deg}, d0.deg - d1.deg AS gain1, d0.deg - d2.deg AS gain2, {_pr} FROM deg{YEAR} d0 "
     + " ".join(f"JOIN deg{YEAR - k} d{k} ON d{k}.v1 = d0.v1" for k in (1, 2))
-    + " " + " ".join(f"JOIN pr{YEAR - k}_{STEPS} p{k} ON p{k}.v1 = d0.v1" for k in range(3)),
-    *[f"deg{y}" for y in FEATURE_YEARS], *[f"pr{y}_{STEPS}" for y in FEATURE_YEARS],
+    + " " + " ".join(f"JOIN pr{YEAR - k} p{k} ON p{k}.v1 = d0.v1" for k in range(3)),
+    *[f"deg{y}" for y in FEATURE_YEARS], *[f"pr{y}" for y in FEATURE_YEARS],
 )
 cte("vnode", f"SELECT *, {_rank_sql('gain1')} AS rank_gain1, {_rank_sql('gain2')} AS rank_gain2 FROM vnode_raw", "vnode_raw")
 _SOURCE = {"c": "c", "ct": "ct_y", "delta": "ct_delta", "num": "num", "c_m": "c_m", "ct_m": "ct_y_m", "delta_m": "ct_delta_m"}
@@ -47,10 +43,10 @@ cte("vmax", "SELECT " + ", ".join(f"CASE WHEN max({c}) = 0 THEN 1 ELSE max({c})
 
 
 def _vertex_graph(spark, d):
-    """(first-seen pairs, adjacency, vertices, vertex features) with fixed PageRank steps."""
+    """(first-seen pairs, adjacency, vertices, vertex features)."""
     seen, fresh = new_pairs(spark, d)
     adj, v = graph.adjacency(seen), i.vertices(spark, d)
-    node = features.node_features(adj, v, YEAR, **FIXED)
+    node = features.node_features(adj, v, YEAR)
     cite = features.node_citation_features(citations.node_table(i.mentions(spark, d), v, FEATURE_YEARS), YEAR)
     return seen, fresh, adj, v, durable(features.vertex_features(node, cite), "vertex")
 
@@ -62,7 +58,7 @@ def _round_all(df, names):
 @query("i1_node_features", "SELECT v1, " + ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in NODE_NAMES) + " FROM vnode", "vnode")
 def _(spark, d):
     seen, _ = new_pairs(spark, d)
-    df = features.node_features(graph.adjacency(seen), i.vertices(spark, d), YEAR, **FIXED)
+    df = features.node_features(graph.adjacency(seen), i.vertices(spark, d), YEAR)
     return df.select("v1", *[r9(F.col(c).cast("double")).alias(c) for c in NODE_NAMES])
 
 
@@ -193,7 +189,7 @@ def _(spark, d):
     seen, fresh = new_pairs(spark, d)
     v = i.vertices(spark, d)
     table = citations.node_table(i.mentions(spark, d), v, FEATURE_YEARS)
-    matrix, _ = features.pair_feature_matrix(fresh, graph.adjacency(seen), v, table, YEAR, **FIXED)
+    matrix, _ = features.pair_feature_matrix(fresh, graph.adjacency(seen), v, table, YEAR)
     return _round_all(matrix, FEATURES)
 
 
@@ -226,24 +222,25 @@ def _(spark, d):
 
 
 @query(
-    "j3_shuffled_head", "SELECT v1, v2, citation, num, round(citation_m, 9) AS citation_m FROM solutions ORDER BY md5('42|' || v1 || '|' || v2), v1, v2 LIMIT 5000", "solutions",
+    "j3_shuffled_solutions",
+    "SELECT v1, v2, citation, num, round(citation_m, 9) AS citation_m, row_number() OVER (ORDER BY md5('42|' || v1 || '|' || v2), v1, v2) AS place FROM solutions", "solutions",
 )
 def _(spark, d):
-    rows = solutions(spark, d).withColumn("citation_m", r9(F.col("citation_m")))
-    return evaluate.exact_sample(rows, 5000, 42, ["v1", "v2"])
+    rows = durable(solutions(spark, d).withColumn("citation_m", r9(F.col("citation_m"))), "solutions")
+    return evaluate.shuffled(rows, 42, ["v1", "v2"])
 
 
-cte("evalset", "SELECT v1, v2, citation FROM solutions ORDER BY md5('42|' || v1 || '|' || v2), v1, v2 LIMIT 2000", "solutions")
+cte("evalset", "SELECT v1, v2, citation FROM solutions", "solutions")
 pair_ctes("evalset", "SELECT v1, v2 FROM evalset", "evalset")
 
 
 @query("j4_evaluation_features", f"SELECT m.*, e.citation FROM ({matrix_sql('evalset', 'evalset_max')}) m JOIN evalset e USING (v1, v2)", "evalset", "evalset_raw", "evalset_max", "vmax")
 def _(spark, d):
     edges, solved, rest = solution_sets(spark, d)
-    sample = durable(evaluate.exact_sample(labels.all_solutions(solved, rest).select("v1", "v2", "citation"), 2000, 42, ["v1", "v2"]), "evalset")
+    sample = durable(labels.all_solutions(solved, rest).select("v1", "v2", "citation"), "evalset")
     v = i.vertices(spark, d)
     table = citations.node_table(i.mentions(spark, d), v, FEATURE_YEARS)
-    matrix, _ = features.pair_feature_matrix(sample, graph.adjacency(graph.first_seen(edges)), v, table, YEAR, **FIXED)
+    matrix, _ = features.pair_feature_matrix(sample, graph.adjacency(graph.first_seen(edges)), v, table, YEAR)
     return _round_all(matrix, FEATURES).join(sample, ["v1", "v2"])
 
 
@@ -420,9 +417,16 @@ def _(spark, d):
     return _round_all(ranking.rank_and_quantile(i.scored_pairs(spark, d)), ["score", "quantile"])
 
 
-@query("k6_descending_check", "SELECT count(*) >= 0 AS non_increasing FROM scored", "scored")
+@query(
+    "k6_descending_check",
+    "SELECT 'rank' AS place, coalesce(bool_and(later), true) AS non_increasing FROM (SELECT score <= lag(score) OVER (ORDER BY score DESC, v1, v2) AS later FROM scored) "
+    "UNION ALL SELECT 'pair', coalesce(bool_and(later), true) FROM (SELECT score <= lag(score) OVER (ORDER BY v1, v2) AS later FROM scored)", "scored",
+)
 def _(spark, d):
-    return ranking.descending_check(ranking.rank_and_quantile(i.scored_pairs(spark, d)), ["rank"])
+    """In the order of ranks, where it holds, and in the order of pairs, where it need not."""
+    rows = durable(i.scored_pairs(spark, d), "scored")
+    ranked = ranking.descending_check(ranking.rank_and_quantile(rows), ["rank"]).select(F.lit("rank").alias("place"), "non_increasing")
+    return ranked.unionByName(ranking.descending_check(rows, ["v1", "v2"]).select(F.lit("pair").alias("place"), "non_increasing"))
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import citations, cooccur, graph, labels
-from ..operators.evaluate import exact_sample
 from ..session import durable
 from . import inputs as i
 from .inputs import C_COLUMNS, FEATURE_YEARS, LATER, YEAR, YEARS, r9, sql_cutoff
@@ -256,27 +255,20 @@ def _converged_sql(y: int, steps: int) -> str:
     """The ranks of the first step whose total change is below vertices x 1e-6."""
     steps_sql = " UNION ALL ".join(f"SELECT {k} AS k, a.v1, a.r, abs(a.r - b.r) AS e FROM pr{y}_{k} a JOIN pr{y}_{k-1} b ON a.v1 = b.v1" for k in range(1, steps + 1))
     return (
-        f"SELECT v1, round(r, 9) AS pagerank FROM (SELECT *, sum(e) OVER (PARTITION BY k) AS drift FROM ({steps_sql})) "
+        f"SELECT v1, r FROM (SELECT *, sum(e) OVER (PARTITION BY k) AS drift FROM ({steps_sql})) "
         "WHERE k = (SELECT min(k) FROM (SELECT k, sum(e) AS drift FROM (" + steps_sql + ") GROUP BY k) WHERE drift < (SELECT count(*) FROM vertices) * 1e-6)"
     )
 
 
-@query("g5_pagerank", _converged_sql(YEAR, STEPS), f"pr{YEAR}_{STEPS}")
-def _(spark, d):
-    adj = durable(_adj(spark, d), "adjacency")
-    ranks = graph.pagerank(adj, i.vertices(spark, d), [YEAR])
-    return ranks.select("v1", r9(F.col(f"pr{YEAR}")).alias("pagerank"))
+for _y in FEATURE_YEARS:
+    cte(f"pr{_y}", _converged_sql(_y, STEPS), f"pr{_y}_{STEPS}")
 
 
-@query(
-    "g5_pagerank_fixed_steps",
-    "SELECT v1, " + ", ".join(f"round(pr{y}_{STEPS}.r, 9) AS pr{y}" for y in FEATURE_YEARS) + f" FROM pr{YEAR}_{STEPS} "
-    + " ".join(f"JOIN pr{y}_{STEPS} USING (v1)" for y in FEATURE_YEARS[1:]), *[f"pr{y}_{STEPS}" for y in FEATURE_YEARS],
-)
+@query("g5_pagerank", f"SELECT v1, round(r, 9) AS pagerank FROM pr{YEAR}", f"pr{YEAR}")
 def _(spark, d):
     adj = durable(_adj(spark, d), "adjacency")
-    ranks = graph.pagerank(adj, i.vertices(spark, d), FEATURE_YEARS, tolerance=0, max_iterations=STEPS)
-    return ranks.select("v1", *[r9(F.col(f"pr{y}")).alias(f"pr{y}") for y in FEATURE_YEARS])
+    ranks = graph.pagerank(adj, i.vertices(spark, d), [YEAR])
+    return ranks.select("v1", r9(F.col(f"pr{YEAR}")).alias("pagerank"))
 
 
 def new_pairs(spark, d):
@@ -306,9 +298,15 @@ def _(spark, d):
     return graph.connected_pairs(graph.first_seen(i.dated_pairs(spark, d)), YEAR)
 
 
-@query("g8_ordering_check", "SELECT coalesce(bool_and(v1 < v2), true) AS all_ordered FROM edges", "edges")
+@query(
+    "g8_ordering_check",
+    "SELECT 'edges' AS pairs, coalesce(bool_and(v1 < v2), true) AS all_ordered FROM edges UNION ALL SELECT 'neighbours', coalesce(bool_and(src < dst), true) FROM adj", "edges", "adj",
+)
 def _(spark, d):
-    return graph.ordering_report(i.dated_pairs(spark, d))
+    pairs = i.dated_pairs(spark, d)
+    both = graph.adjacency(graph.first_seen(pairs)).select(F.col("src").alias("v1"), F.col("dst").alias("v2"))
+    reports = [graph.ordering_report(p).select(F.lit(n).alias("pairs"), "all_ordered") for n, p in (("edges", pairs), ("neighbours", both))]
+    return reports[0].unionByName(reports[1])
 
 
 @query(
@@ -320,21 +318,34 @@ def _(spark, d):
 
 
 cte("active", f"SELECT DISTINCT unnest([v1, v2]) AS v FROM seen WHERE first_day <= {CUT}", "seen")
-cte("combos", "SELECT a.v AS v1, b.v AS v2 FROM active a JOIN active b ON a.v < b.v", "active")
-cte("open_pairs", f"SELECT v1, v2 FROM combos ANTI JOIN (SELECT v1, v2 FROM seen WHERE first_day <= {CUT}) USING (v1, v2)", "combos", "seen")
+cte(
+    "sharing",
+    f"SELECT a.dst AS v1, b.dst AS v2, count(*) AS shared FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst WHERE a.first_day <= {CUT} AND b.first_day <= {CUT} "
+    "AND a.src <> a.dst AND b.src <> b.dst GROUP BY 1, 2", "adj",
+)
+cte("open_pairs", f"SELECT v1, v2 FROM sharing ANTI JOIN (SELECT v1, v2 FROM seen WHERE first_day <= {CUT}) USING (v1, v2)", "sharing", "seen")
 
 
 def open_pairs(spark, d):
-    """(dated pairs, all pairs of vertices active in YEAR that are not an edge in YEAR)."""
+    """(dated pairs, pairs that share a neighbour in YEAR and are not an edge in YEAR)."""
     seen = durable(graph.first_seen(i.dated_pairs(spark, d)), "seen")
-    now = graph.connected_pairs(seen, YEAR)
-    return seen, graph.unconnected_pairs(graph.vertex_combinations(graph.active_vertices(now).select("v")), now)
+    return seen, graph.unconnected_pairs(graph.sharing_pairs(graph.adjacency(seen), YEAR), graph.connected_pairs(seen, YEAR))
+
+
+@query("g10_sharing_pairs", "SELECT * FROM sharing", "sharing")
+def _(spark, d):
+    return graph.sharing_pairs(graph.adjacency(graph.first_seen(i.dated_pairs(spark, d))), YEAR)
 
 
-@query("g10_vertex_combinations", "SELECT * FROM combos", "combos")
+@query(
+    "g10_pair_counts",
+    "SELECT n AS vertices, n * (n - 1) // 2 AS pairs, e AS connected, o AS sharing, n * (n - 1) // 2 - e - o AS other FROM (SELECT (SELECT count(*) FROM active) AS n, "
+    f"(SELECT count(*) FROM seen WHERE first_day <= {CUT} AND v1 <> v2) AS e, (SELECT count(*) FROM open_pairs) AS o)", "active", "seen", "open_pairs",
+)
 def _(spark, d):
-    now = graph.connected_pairs(graph.first_seen(i.dated_pairs(spark, d)), YEAR)
-    return graph.vertex_combinations(graph.active_vertices(now).select("v"))
+    seen = durable(graph.first_seen(i.dated_pairs(spark, d)), "seen")
+    now = graph.connected_pairs(seen, YEAR)
+    return graph.pair_counts(graph.active_vertices(now), now, graph.sharing_pairs(graph.adjacency(seen), YEAR))
 
 
 @query("g11_unconnected_pairs", "SELECT * FROM open_pairs", "open_pairs")
@@ -352,15 +363,10 @@ def _(spark, d):
     return graph.transition(free, graph.connected_pairs(seen, LATER))
 
 
-@query("g13_pair_sample", "SELECT v1, v2 FROM open_pairs ORDER BY md5('42|' || v1 || '|' || v2), v1, v2 LIMIT 1000", "open_pairs")
-def _(spark, d):
-    return exact_sample(open_pairs(spark, d)[1], 1000, 42, ["v1", "v2"])
-
-
 # -- future citations ----------------------------------------------------------------------------------------------
 
 _RECENT_LATER = _recent(LATER)
-cte("turned", f"SELECT v1, v2 FROM open_pairs SEMI JOIN (SELECT v1, v2 FROM seen WHERE first_day <= {CUT_LATER}) USING (v1, v2)", "open_pairs", "seen")
+cte("turned", f"SELECT v1, v2 FROM seen WHERE first_day > {CUT} AND first_day <= {CUT_LATER} AND v1 IN (SELECT v FROM active) AND v2 IN (SELECT v FROM active)", "active", "seen")
 cte("still", f"SELECT v1, v2 FROM open_pairs ANTI JOIN (SELECT v1, v2 FROM seen WHERE first_day <= {CUT_LATER}) USING (v1, v2)", "open_pairs", "seen")
 cte(
     "solved",
@@ -371,14 +377,13 @@ cte("solutions", "SELECT v1, v2, citation, num, citation_m FROM solved UNION ALL
 
 
 def solution_sets(spark, d):
-    """(edges, connected solutions, unconnected solutions) of the pairs open in YEAR, as seen in LATER."""
+    """(edges, connected solutions, unconnected solutions) as seen in LATER: the pairs open in YEAR that became edges, and
+    those that share a neighbour in YEAR and did not."""
     edges = durable(i.edges(spark, d), "edges")
     seen = durable(graph.first_seen(edges), "seen")
-    now = graph.connected_pairs(seen, YEAR)
-    free = graph.unconnected_pairs(graph.vertex_combinations(graph.active_vertices(now).select("v")), now)
-    moved = durable(graph.transition(free, graph.connected_pairs(seen, LATER)), "transition")
-    solved = labels.connected_solutions(moved.filter("connected"), edges, LATER)
-    return edges, solved, labels.unconnected_solutions(moved.filter("not connected"))
+    solved = labels.connected_solutions(graph.newly_connected(seen, YEAR, LATER), edges, LATER)
+    free = graph.sharing_pairs(graph.adjacency(seen), YEAR)
+    return edges, solved, labels.unconnected_solutions(graph.unconnected_pairs(free, graph.connected_pairs(seen, LATER)))
 
 
 def solutions(spark, d):
@@ -388,7 +393,9 @@ def solutions(spark, d):
 
 @query("h1_connected_solutions", "SELECT v1, v2, citation, num, round(citation_m, 9) AS citation_m FROM solved", "solved")
 def _(spark, d):
-    return solution_sets(spark, d)[1].withColumn("citation_m", r9(F.col("citation_m")))
+    edges = durable(i.edges(spark, d), "edges")
+    fresh = graph.newly_connected(graph.first_seen(edges), YEAR, LATER)
+    return labels.connected_solutions(fresh, edges, LATER).withColumn("citation_m", r9(F.col("citation_m")))
 
 
 @query("h2_all_solutions", "SELECT v1, v2, citation, num, round(citation_m, 9) AS citation_m FROM solutions", "solutions")
@@ -401,8 +408,8 @@ def _(spark, d):
     f"SELECT v1, v2, paper_id, {_RECENT_LATER} AS citation FROM edges SEMI JOIN turned USING (v1, v2) WHERE time <= {CUT_LATER}", "edges", "turned",
 )
 def _(spark, d):
-    edges, solved, _rest = solution_sets(spark, d)
-    return labels.connected_records(solved, edges, LATER)
+    edges = durable(i.edges(spark, d), "edges")
+    return labels.connected_records(graph.newly_connected(graph.first_seen(edges), YEAR, LATER), edges, LATER)
 
 
 @query("h3_binary_class", "SELECT v1, v2, CASE WHEN citation >= 10 THEN 1 ELSE 0 END AS class FROM solutions", "solutions")
@@ -441,14 +448,21 @@ def _(spark, d):
     return labels.label_single_year(fresh, edges, LATER)
 
 
+cte("ended", "SELECT f.v1, f.v2, CAST(coalesce(sum(c2001), 0) AS BIGINT) AS y2024, CAST(coalesce(sum(c1999), 0) AS BIGINT) AS y1999, CAST(coalesce(sum(ct), 0) AS BIGINT) AS y1990 FROM fresh f LEFT JOIN edges e USING (v1, v2) GROUP BY 1, 2", "fresh", "edges")
+
+
 @query(
     "h6_label_latest_year",
-    "SELECT f.v1, f.v2, CAST(coalesce(sum(c2001), 0) AS BIGINT) AS label FROM fresh f LEFT JOIN edges e USING (v1, v2) GROUP BY 1, 2", "fresh", "edges",
+    "SELECT v1, v2, last_year, label, CASE WHEN label >= 10 THEN 1 ELSE 0 END AS class FROM (SELECT v1, v2, 2024 AS last_year, y2024 AS label FROM ended "
+    "UNION ALL SELECT v1, v2, 1999, y1999 FROM ended UNION ALL SELECT v1, v2, 1990, y1990 FROM ended)", "ended",
 )
 def _(spark, d):
+    """Beyond the data, inside it, and before it, where the total stands in."""
     edges = durable(i.edges(spark, d), "edges")
-    seen = graph.first_seen(edges)
-    return labels.label_latest_year(seen.filter(~graph.known_in(YEAR) & graph.known_in(LATER)), edges, 2024)
+    fresh = graph.first_seen(edges).filter(~graph.known_in(YEAR) & graph.known_in(LATER))
+    out = [labels.label_latest_year(fresh, edges, y).select("v1", "v2", F.lit(y).alias("last_year"), "label") for y in (2024, 1999, 1990)]
+    rows = out[0].unionByName(out[1]).unionByName(out[2])
+    return rows.withColumn("class", labels.binary_class(F.col("label"), 10))
 
 
 @query(

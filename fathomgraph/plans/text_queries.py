@@ -79,11 +79,6 @@ def _(spark, d):
     return readers.read_cited_papers(spark, _cited_files(spark, d), "1996-03-15", "1998-09-01").select("paper_id", "updated_date", "cited_by_count")
 
 
-@query("a5_first_rows_per_file", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 30")
-def _(spark, d):
-    return readers.first_rows(i.table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 30)
-
-
 # Some lines are damaged by rule, to give the malformed-row policy work on every kind of fault.
 _FAULT = "CASE WHEN o_orderkey % 11 = 3 THEN 'json' WHEN o_orderkey % 13 = 5 THEN 'nodate' WHEN o_orderkey % 17 = 7 THEN 'baddate' WHEN o_orderkey % 19 = 2 THEN 'text' ELSE 'none' END"
 

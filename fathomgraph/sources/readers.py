@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.dates import day_offset, iso_date, preprint_date
 from ..functions.text import REPLACE_SHORT, paper_abstract, paper_text
+from ..operators.ordered import with_rank
+from ..session import durable
 
 #: JVM names of charsets that Python spells differently.
 _CHARSETS = {"latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
 
-#: Largest dictionary file that is read as one value to keep its line order.
-DICTIONARY_BYTES = 128 << 20
-
 
 def read_preprints(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
     """(categories, title, abstract, time); ``category`` must equal the whole category list."""
@@ -71,28 +70,18 @@ def ingest_report(rows: DataFrame, group: Column | str) -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """Sampling option: the first ``n`` rows of each group in the given order.
-
-    The constant bound on row_number lets Spark cut each group inside every task before the shuffle.
-    """
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
-
-
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(concept_id, line_no, concept): id among the non-blank lines, and the number among all lines, both from 0.
 
-    One file, read as one value because only that keeps the line order; its size is checked first.
+    The lines of one file are read by as many tasks as it has splits, and numbered by the start of their split and their
+    place in it.
     """
-    whole = spark.read.text(path, wholetext=True)
-    size = whole.select(F.col("_metadata.file_size")).agg(F.sum("file_size")).first()[0] or 0
-    if size > DICTIONARY_BYTES:
-        raise ValueError(f"dictionary of {size} bytes is above {DICTIONARY_BYTES}; store it as a table with ids")
-    lines = F.split(F.regexp_replace("value", "\n$", ""), "\r?\n")
-    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("line_no"), F.trim(line).alias("concept")))
-    kept = F.filter(numbered, lambda s: s["concept"] != "")
-    return whole.select(F.posexplode(kept).alias("concept_id", "s")).select("concept_id", "s.line_no", "s.concept")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.trim(F.regexp_replace("value", "\r$", "")).alias("concept")
+    )
+    numbered = with_rank(durable(lines, "lines"), ["_block", "_line"], "_no")
+    kept = with_rank(numbered.filter("concept <> ''").select("_no", "concept"), ["_no"], "_id")
+    return kept.select((F.col("_id") - 1).cast("int").alias("concept_id"), (F.col("_no") - 1).cast("int").alias("line_no"), "concept")
 
 
 def scan_years(spark: SparkSession, path: str, keys: Sequence[str], first: int, last: int) -> DataFrame:

@@ -15,8 +15,8 @@ QUICK = [
     "a1_preprints_of_category", "a4_cited_papers_of_dates", "a6_ingest_report", "a7_dictionary_file", "a11_json_array_scan", "a12_sinks",
     "b2_abstract_from_index", "b3_clean_full", "c3_concept_ids", "c5_document_frequency", "c6_cooccurrence", "c7_cooccurrence_occurrences",
     "d5_refined_dictionary", "e1_pivot_mentions", "f6_node_table", "f7_pair_table", "g1_adjacency", "g5_pagerank", "g6_shared_neighbours",
-    "g11_unconnected_pairs", "g13_pair_sample", "h2_all_solutions", "h4_conditional_split", "i3_node_citation_features", "i5_pair_citations",
-    "i10_feature_matrix", "j2_split_per_class", "j6_auc", "j8_best_threshold", "k2_top_pairs", "k5_score_summary", "k6_rank_and_quantile",
+    "g11_unconnected_pairs", "g10_pair_counts", "h2_all_solutions", "h4_conditional_split", "i3_node_citation_features", "i5_pair_citations",
+    "i10_feature_matrix", "j2_split_per_class", "j3_shuffled_solutions", "j6_auc", "j8_best_threshold", "k2_top_pairs", "k5_score_summary", "k6_rank_and_quantile",
     "k10_category_matrix", "l1_first_per_name", "l5_drop_plurals", "l7_frequency_table", "m3_candidate_spans", "m5_expanded_relations",
     "m7_pruned_spans", "m8_suppressed_same_label", "m9_decoded_relations", "m11_relation_scores", "n1_incremental_mentions",
 ]

@@ -191,15 +191,21 @@ def test_pagerank_stops_per_year_and_spreads_isolated_mass(spark):
         assert math.isclose(sum(expected), 1.0)
 
 
-def test_combinations_and_complement(spark):
-    for n in (0, 1, 2, 3, 50):
-        vertices = spark.createDataFrame([(v * 7 % 997,) for v in range(n)], "v int")
-        pairs = [tuple(r) for r in graph.vertex_combinations(vertices).collect()]
-        assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2 and all(a < b for a, b in pairs)
-    connected = spark.createDataFrame([(7, 0), (14, 21)], "v1 int, v2 int")
-    vertices = spark.createDataFrame([(v * 7,) for v in range(4)], "v int")
-    free = graph.unconnected_pairs(graph.vertex_combinations(vertices), connected)
-    assert {tuple(r) for r in free.collect()} == {(0, 14), (0, 21), (7, 14), (7, 21)}
+def test_sharing_pairs_and_counts(spark):
+    rng = random.Random(5)
+    edges = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)} | {(0, k) for k in range(1, 30)} | {(7, 7)}
+    seen = spark.createDataFrame([(a, b, 0) for a, b in edges], "v1 int, v2 int, first_day int")
+    nbrs = {v: {a + b - v for a, b in edges if v in (a, b) and a != b} for v in range(40)}
+    expected = {(a, b): len(nbrs[a] & nbrs[b]) for a in range(40) for b in range(a + 1, 40) if nbrs[a] & nbrs[b]}
+    for block in (4, 256):
+        sharing = graph.sharing_pairs(graph.adjacency(seen), 1997, block)
+        assert {(r["v1"], r["v2"]): r["shared"] for r in sharing.collect()} == expected
+    connected = seen.select("v1", "v2")
+    free = {tuple(r) for r in graph.unconnected_pairs(sharing, connected).collect()}
+    assert free == set(expected) - edges
+    n, joined = len({v for e in edges for v in e}), sum(a != b for a, b in edges)
+    row = graph.pair_counts(graph.active_vertices(connected), connected, sharing).first()
+    assert tuple(row) == (n, n * (n - 1) // 2, joined, len(free), n * (n - 1) // 2 - joined - len(free))
 
 
 # -- labels, evaluation --------------------------------------------------------------------------------------------
