@@ -14,9 +14,10 @@ Documents with the same set of shingles are one class, found by a 128-bit finger
 A list is never expanded into all its pairs. In rounds, the smallest member of each list that still spans two components,
 its hub, is compared with the other members, and leaves the list; members of one component need no comparing. With the hub
 leave those of its component whose distance to it is so small that, by the triangle inequality of the Jaccard distance, no
-member of another component can link with them. Lists of at most ``SHORT`` members that still span components after the
-first round are finished by comparing the pairs between components. The rounds end when no list spans two components, so
-no link between components is lost.
+member of another component can link with them. From the second round on, sets that share too few shingles with all others
+in the lists leave first, and the hub is the set that shares most. Lists of at most ``SHORT`` members that still span
+components after the first round (four times as many in each further round) are finished by comparing the pairs between
+components. The rounds end when no list spans two components, so no link between components is lost.
 
 Postings travel as blocks of numbers by hash bucket; frequent shingles are spread over buckets by set as well, so that a
 list of any length meets no single task.
@@ -271,30 +272,60 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str =
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch.column("shingles")]
+        for k in range(0, len(sets), 256):
+            some = sets[k : k + 256]
+            reps = np.repeat(batch.column("rep").to_numpy()[k : k + 256], [len(x) for x in some])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(some))], names=["rep", "token"])
+
+
+def _shared(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, shared): how many shingles of a set any other set in the lists has; no overlap can be larger."""
+    wanted = lists.select("rep").distinct()
+    tokens = durable(sets.join(wanted, "rep", "left_semi").mapInArrow(_tokens, "rep bigint, token bigint"), "list-shingles")
+    common = tokens.groupBy("token").agg((F.min("rep") != F.max("rep")).alias("common")).filter("common").select("token")
+    return durable(tokens.join(common, "token").groupBy("rep").agg(F.count(F.lit(1)).alias("shared")), "shared")
+
+
 def _linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of the links among ``members`` (token, rep, size) of the lists."""
     spark = members.sparkSession
     roots = durable(spark.createDataFrame([], "node bigint, root bigint"), "roots")
-    links: DataFrame | None = None
     tried = durable(spark.createDataFrame([], "a bigint, b bigint, linked boolean, distance double"), "checked-pairs")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first = True
+    needed = lambda k, l: F.ceil(F.lit(percent) * (k + l) / F.lit(100 + percent))
+    short = 0
     while True:
         at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "size", F.coalesce("root", "rep").alias("root"))
-        heads = at.groupBy("token").agg(
-            F.min(F.struct("rep", "size")).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
-        ).filter("low < high").select("token", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"), "n")
+        if short:
+            mixed = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least")).filter("low < high")
+            at = durable(at.join(mixed.select("token", "least"), "token"), "mixed-lists")
+            if at.isEmpty():
+                return roots
+            at = at.join(_shared(at, sets), "rep").filter(F.col("shared") >= needed(F.col("size"), F.col("least"))).drop("least")
+        else:
+            at = at.withColumn("shared", F.col("size"))
+        # the hub shares most of its set, so it is near the middle of its copies
+        score = F.struct((F.col("shared") / F.col("size")).alias("share"), (-F.col("rep")).alias("no"), "size", "shared")
+        heads = at.groupBy("token").agg(F.max(score).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        heads = heads.filter("low < high").select(
+            "token", (-F.col("hub.no")).alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.shared").alias("hub_shared"), "n"
+        )
         open_ = durable(at.join(heads, "token"), "open-lists")
         if open_.isEmpty():
             return roots
-        short = F.lit(False) if first else F.col("n") <= SHORT
-        pairs = open_.filter(~short & (F.col("rep") != F.col("hub")) & fits(F.col("size"), F.col("hub_size"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        if not first:
-            x = open_.filter(short).select("token", F.col("rep").alias("a"), F.col("size").alias("s"), F.col("root").alias("p"))
-            y = open_.filter(short).select("token", F.col("rep").alias("b"), F.col("size").alias("t"), F.col("root").alias("q"))
-            pairs = pairs.union(x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("s"), F.col("t"))).select("a", "b"))
+        fits = lambda k, l, s, t: F.least(s, t, k, l) >= needed(k, l)
+        is_short = F.col("n") <= short
+        around = open_.filter(~is_short & (F.col("rep") != F.col("hub")) & fits(F.col("size"), F.col("hub_size"), F.col("shared"), F.col("hub_shared")))
+        pairs = around.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        if short:
+            x = open_.filter(is_short).select("token", F.col("rep").alias("a"), F.col("size").alias("k"), F.col("shared").alias("s"), F.col("root").alias("p"))
+            y = open_.filter(is_short).select("token", F.col("rep").alias("b"), F.col("size").alias("l"), F.col("shared").alias("t"), F.col("root").alias("q"))
+            across = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("k"), F.col("l"), F.col("s"), F.col("t")))
+            pairs = pairs.union(across.select("a", "b"))
         pairs = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean, distance double")
         following = durable(tried.union(checked), "checked-pairs")
@@ -303,8 +334,8 @@ def _linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
         following = components(tried.filter("linked").select("a", "b"))
         discard(roots)
         roots = following
-        members = _left_over(open_.filter(~short), tried, roots, percent)
-        first = False
+        members = _left_over(open_.filter(~is_short), tried, roots, percent)
+        short = SHORT if not short else 4 * short
 
 
 def _left_over(lists: DataFrame, tried: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -317,7 +348,9 @@ def _left_over(lists: DataFrame, tried: DataFrame, roots: DataFrame, percent: in
     now = roots.select(F.col("node").alias("rep"), F.col("root").alias("now"))
     of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_now"))
     rows = lists.filter(F.col("rep") != F.col("hub")).join(known, ["hub", "rep"], "left").join(now, "rep", "left").join(of_hub, "hub", "left")
-    by_size = 1 - F.least("size", "hub_size") / F.greatest("size", "hub_size")  # not compared, as the sizes differ too much
+    # not compared, as sizes or shared shingles do not suffice: at least this far
+    most = F.least("size", "hub_size", "shared", "hub_shared")
+    by_size = 1 - most / (F.col("size") + F.col("hub_size") - most)
     rows = rows.select(
         "token", "rep", "size", "distance", F.coalesce("distance", by_size).alias("least"),
         (F.coalesce("now", "rep") == F.coalesce("hub_now", "hub")).alias("same"),
