@@ -36,7 +36,7 @@ REACH = 6.0
 TYPICAL_SYMBOLS = 1500
 MIN_BAND_DOCS = 20
 MIN_SPREAD = 0.02
-#: A task sends its counts after so many slices of text (of 4 MB), which bounds what it holds.
+#: A task hands on its counts after so many slices of text (of 4 MB), which bounds what its Python side holds.
 SLICES = 2
 
 _MARKS = " .,;:!?'\"-()0#*$%&|<>/@=_+[]"  # classes after the letters; all digits share the class of 0
@@ -169,7 +169,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> str:
     counts = durable(gram_counts(public_columns(docs, lang=lang, text=text)), "gram-counts")
     folder = shared_path(docs.sparkSession, "language-model")
     model = kneser_ney(counts)
-    model.repartition("lang", "level").sortWithinPartitions("lang", "level", "code").write.partitionBy("lang").parquet(folder)
+    model.repartition("lang", "level", F.pmod("code", F.lit(16))).sortWithinPartitions("lang", "level", "code").write.partitionBy("lang").parquet(folder)
     return folder
 
 

@@ -1,7 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, with ids of words kept between texts.
 
 The tokenizer files used here drop white space and never let a token cross it, so a text's ids are the ids of its words
-in turn. Each distinct word is encoded once by the library; the words that a worker remembers are bounded.
+in turn. Each distinct word is encoded once by the library; the words that a worker remembers are bounded. A word with a
+full stop or comma after it is the word and the mark, and texts in ASCII are folded to lower case, where the tokenizer does
+the same.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(_SENTINEL, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        same = lambda a, b: self._ids(a).tobytes() == b
+        probes = ("a", "ab", "word", "7", "x9y", "Zz", "10")
+        self.folds = all(same(x, self._ids(x.lower()).tobytes()) for x in ("A", "WORD", "Zz", "It'S", "X9"))
+        self.marks = {m.encode()[0]: self._ids(m).tobytes() for m in ".," if all(same(x + m, self._ids(x).tobytes() + self._ids(m).tobytes()) for x in probes)}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -57,19 +63,28 @@ class WordEncoder:
             ends = [*(cuts * width).tolist(), len(data)]
             into.update((w, data[a:b]) for w, a, b in zip(some, starts, ends))
 
+    def _words(self, data: bytes) -> list[bytes]:
+        """Words; strings like special tokens keep their case."""
+        return (data.lower() if self.folds and data.isascii() and b"<|" not in data else data).split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
         if not self.independent:
             return [self._ids(t or "").tobytes() for t in texts]
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        split = [self._words((t or "").encode("utf-8", "replace")) for t in texts]
         distinct: set[bytes] = set()
         for words in split:
             distinct.update(words)
         known = self.known
         missing = [w for w in distinct if w not in known]
         if len(known) + len(missing) > REMEMBERED_WORDS:
-            known = {w: known[w] for w in distinct if w in known}
+            known = {w: known[w] for w in distinct if w in known}  # for this slice only; what is remembered stays
+        marked = [w for w in missing if w[-1] in self.marks and w[:-1].isalnum()]
+        if marked:
+            bases = {w[:-1] for w in marked}
+            missing = list(bases.union(missing).difference(marked, (b for b in bases if b in known)))
         self._encode_words(missing, known)
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

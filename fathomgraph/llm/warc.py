@@ -210,8 +210,11 @@ def choose_responses(index: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return joined.select("path", "position", "sha1", F.when(other, F.col("to_path")).alias("to_path"), F.when(other, F.col("to_position")).alias("to_position"))
 
 
-def convert_arc(choices: DataFrame, folder: str) -> DataFrame:
-    """Write a WARC file for each archive of ``choices``; a group holds places and digests of one file's records only."""
+def convert_arc(choices: DataFrame, folder: str, n_files: int) -> DataFrame:
+    """Write a WARC file for each archive of ``choices``; a group holds places and digests of one file's records only.
+
+    The rows are few bytes each, so the number of tasks is given by the number of archives, not by their size.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         path = group.column("path")[0].as_py()
@@ -233,7 +236,7 @@ def convert_arc(choices: DataFrame, folder: str) -> DataFrame:
         out.close()
         return pa.table({"path": [target], "records": pa.array([count], pa.int64())})
 
-    return durable(choices.groupBy("path").applyInArrow(run, "path string, records bigint"), "warc-files")
+    return durable(choices.repartition(max(1, n_files), "path").groupBy("path").applyInArrow(run, "path string, records bigint"), "warc-files")
 
 
 def read_warc_files(files: DataFrame) -> DataFrame:
@@ -273,7 +276,7 @@ def read_warc_files(files: DataFrame) -> DataFrame:
 def convert_archives(files: DataFrame, least: int = LEAST_BYTES, folder: str | None = None) -> DataFrame:
     """Convert the ARC files of ``files`` (path) to WARC files; returns the table of those (path, records)."""
     folder = folder or shared_path(files.sparkSession, "warc")
-    return convert_arc(choose_responses(index_arc(files), least), folder)
+    return convert_arc(choose_responses(index_arc(files), least), folder, files.count())
 
 
 def archive_pages(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:

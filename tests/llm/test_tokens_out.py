@@ -21,7 +21,7 @@ def encode():
 
 
 def test_words_alone_give_the_ids_of_whole_texts(encode):
-    texts = ["It's a test's tést. Á x́ İstanbul ΣΑΣ 12 3.4 <|x|>", "a\x01b \x01 c", "", None, "don't  stop\x1cnow ok", "日本 語 😀!? <|endoftext|> z"]
+    texts = ["The END. the end, End.. A.B. 10. x9, 'S. don'T, (ok), J\u030c. end.,", "<|EndOfText|> UP. up", "It's a test's tést. Á x́ İstanbul ΣΑΣ 12 3.4 <|x|>", "a\x01b \x01 c", "", None, "don't  stop\x1cnow ok", "日本 語 😀!? <|endoftext|> z"]
     one = WordEncoder(PATH)
     for _ in range(2):  # the second time from what is remembered
         assert [np.frombuffer(x, dtype=one.dtype).tolist() for x in one.encode(texts)] == [encode(t) for t in texts]
