@@ -324,16 +324,37 @@ def _(spark, d):
     return evaluate.best_threshold(spark.read.text(path))
 
 
-@query("j9_impact_scores")
-def _(spark, d):
+cte(
+    "impact_split",
+    "SELECT v1, v2, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('7|' || v1 || '|' || v2), v1, v2) <= floor(count(*) OVER (PARTITION BY label) * 0.85::DOUBLE) "
+    "THEN 'train' ELSE 'test' END AS part FROM (SELECT v1, v2, CASE WHEN citation >= 1 THEN 1 ELSE 0 END AS label FROM solutions)", "solutions",
+)
+
+
+def _impact(spark, d):
+    """Labelled pairs with their part and the score of a model that was fitted on the train part."""
     edges, solved, rest = solution_sets(spark, d)
     pairs = durable(labels.all_solutions(solved, rest).select("v1", "v2", labels.binary_class(F.col("citation"), 1).alias("label")), "labelled")
+    parts = durable(evaluate.split_per_class(pairs, "label", 7, ["v1", "v2"]), "impact-parts")
     v = i.vertices(spark, d)
     table = citations.node_table(i.mentions(spark, d), v, FEATURE_YEARS)
-    matrix, _ = features.pair_feature_matrix(pairs, graph.adjacency(graph.first_seen(edges)), v, table, YEAR)
-    train = durable(matrix.join(pairs, ["v1", "v2"]), "train")
-    _, score = evaluate.fit_impact(train, FEATURES, maxIter=20, regParam=0.01)
-    return score(train).select("v1", "v2", "label", "score")
+    matrix, _ = features.pair_feature_matrix(parts, graph.adjacency(graph.first_seen(edges)), v, table, YEAR)
+    rows = durable(matrix.join(parts, ["v1", "v2"]), "impact-rows")
+    _, score = evaluate.fit_impact(rows.filter("part = 'train'"), FEATURES, maxIter=20, regParam=0.01)
+    return score(rows).select("v1", "v2", "label", "part", "score")
+
+
+@query("j9_impact_scores", "SELECT v1, v2, label, part, true AS in_range FROM impact_split", "impact_split")
+def _(spark, d):
+    return _impact(spark, d).select("v1", "v2", "label", "part", F.col("score").between(0, 1).alias("in_range"))
+
+
+@query("j9_impact_auc", "SELECT part, count(*) AS pairs, count(*) FILTER (label = 1) AS positives, true AS above_half FROM impact_split GROUP BY part", "impact_split")
+def _(spark, d):
+    scored = durable(_impact(spark, d), "impact-scores")
+    counts = scored.groupBy("part").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("label") == 1).alias("positives"))
+    area = evaluate.auc(scored, "score", F.col("label") == 1, ["part"]).select("part", (F.col("auc") > 0.5).alias("above_half"))
+    return counts.join(area, "part")
 
 
 # -- ranking and score analysis ------------------------------------------------------------------------------------

@@ -43,15 +43,6 @@ def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
-@needs_data
-def test_impact_scores_are_probabilities(spark):
-    from pyspark.sql import functions as F
-
-    scored = catalog.QUERIES["j9_impact_scores"](spark, SF)
-    row = scored.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n")).first()
-    assert row["n"] > 0 and 0 <= row["low"] <= row["high"] <= 1
-
-
 PLANNED = ["c6_cooccurrence", "f6_node_table", "g1_adjacency", "g11_unconnected_pairs", "c3_concept_ids", "l5_drop_plurals", "m7_pruned_spans", "k6_rank_and_quantile"]
 
 
