@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_offset
 from ..operators.cooccur import cooccurrence
+from ..operators.spans import LABELS
 from ..session import spread_scan
 from .registry import cte
 
@@ -190,8 +191,8 @@ cte("entities", "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, form AS entity_nam
 
 # -- annotated documents -------------------------------------------------------------------------------------------
 
-ENTITY_LABELS = ["Method", "Task", "Metric"]
-SYMMETRIC, DIRECTED = ["NIL", "CONJUNCTION", "COMPARE"], ["PART-OF", "USED-FOR", "FEATURE-OF", "EVALUATE-FOR", "HYPONYM-OF"]
+ENTITY_LABELS = [x for x in LABELS["scierc"]["entity"] if x in ("Method", "Task", "Metric")]
+SYMMETRIC, DIRECTED = LABELS["scierc"]["symmetric"], LABELS["scierc"]["directed"]
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,26 @@ def _(spark, d):
     return match.refinement_report(_phrases(spark, d), rules=_RULES)
 
 
+def _listed(name: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in match.DEFAULT_RULES[name]) + "]::VARCHAR[]"
+
+
+_has = {n: f"len(list_intersect(w, {_listed(n)})) > 0" for n in ("any", "any5", "any3", "any2")}
+_at = {n: f"list_contains({_listed(n)}, w[{1 if 'start' in n else -1}])" for n in ("start", "end", "start2", "end2")}
+
+
+@query(
+    "d5_default_rules",
+    f"SELECT concept FROM (SELECT concept, string_split(concept, ' ') AS w FROM (SELECT concept FROM dictionary UNION SELECT concept FROM phrases)) WHERE NOT ({_has['any']} "
+    f"OR (len(w) < 5 AND {_has['any5']}) OR (len(w) <= 3 AND {_has['any3']}) OR (len(w) = 2 AND {_has['any2']}) OR {_at['start']} OR {_at['end']} "
+    f"OR (len(w) = 2 AND ({_at['start2']} OR {_at['end2']})) OR " + " OR ".join(f"contains(concept, '{f}')" for f in match.DEFAULT_RULES["forbidden"]) + ")",
+    "dictionary", "phrases",
+)
+def _(spark, d):
+    """The default lists on the words of the texts and the phrases."""
+    return match.refine_dictionary(i.dictionary(spark, d).select("concept").union(_phrases(spark, d)).distinct())
+
+
 # -- entities ------------------------------------------------------------------------------------------------------
 
 _PLURAL = (
