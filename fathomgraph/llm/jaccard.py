@@ -4,8 +4,9 @@ Documents with the same set of shingles are one class, found by a 128-bit finger
 
 * Small sets (light) post every subset of a fixed size: for sizes k and l, the sets with a common subset of
   ``ceil(t * (k + l) / (1 + t))`` shingles are exactly the pairs that link.
-* Large sets (heavy) post their prefix, the ``k - ceil(t * k) + 1`` first shingles in an order common to all sets; two
-  sets that link share a posted shingle. Their inverted lists are scanned for candidates, which are then verified on whole
+* Large sets (heavy) post their prefix, the ``k - ceil(t * k) + 1`` first shingles in an order common to all sets, and a
+  tenth more; two sets that link share more than a tenth of the smaller one's size of posted shingles, so sets with fewer
+  posted shingles that any other set has leave at once. Their inverted lists are scanned for candidates, which are then verified on whole
   sets. The order goes by level of frequency, the frequent last: an array of at most 2**23 levels (the logarithm of how
   often tasks met a shingle's slot). Any array gives the same links; a good one gives short lists.
 * The boundary is the size of least estimated cost, from the counts of the set sizes; small sets that may link with large
@@ -82,6 +83,11 @@ def prefix_length(k: int, percent: int) -> int:
     return k - -(-percent * k // 100) + 1
 
 
+def extra_length(k: int) -> int:
+    """Shingles posted beyond the prefix: sets of sizes k and l that link share more than ``extra_length(min(k, l))`` posted ones."""
+    return k // 10 if k > 40 else 0
+
+
 def partner_sizes(k: int, percent: int) -> range:
     return range(-(-percent * k // 100), 100 * k // percent + 1)
 
@@ -151,7 +157,7 @@ def _postings(n: int, percent: int, boundary: int, levels: np.ndarray, buckets:
         light = np.concatenate(out) if out else np.zeros(0, np.uint64)
         if k > boundary or partner_sizes(k, percent)[-1] > boundary:
             level = levels[(found % slots).astype(np.int64)]
-            first = np.argsort(level, kind="stable")[: prefix_length(k, percent)]
+            first = np.argsort(level, kind="stable")[: prefix_length(k, percent) + extra_length(k)]
             return np.concatenate([light, found[first]]), np.r_[np.zeros(len(light), bool), level[first] > 0]
         return light, np.zeros(len(light), bool)
 
@@ -198,12 +204,14 @@ def _lists(group: pa.Table) -> pa.Table:
 
 
 def _sets(n: int):
+    """Sets of the texts whose fingerprint is among the keys of their id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             found = [shingles(data, n) for data in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([fingerprint(f)[0] for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["rep", "hi", "shingles"]
-            )
+            right = [fingerprint(f)[0] in keys for f, keys in zip(found, batch.column("keys").to_pylist())]
+            reps = [r for r, ok in zip(batch.column("doc_id").to_pylist(), right) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([f.tobytes() for f, ok in zip(found, right) if ok], pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -253,17 +261,22 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str =
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
     posted = rows.filter("doc_id is not null").mapInArrow(_postings(n, percent, boundary, levels, buckets), "bucket int, tokens binary, nodes binary, often binary")
     lists = durable(posted.groupBy("bucket").applyInArrow(_lists, "token bigint, node bigint"), "lists")
+    by_node = classes.select(F.col("hi").alias("node"), "rep", F.col("n_shingles").alias("size"))
+    least_partner = F.ceil(F.col("size") * percent / 100)
+    enough = F.when(least_partner > 40, F.floor(least_partner / 10) + 1).otherwise(1)  # extra_length of the least partner, and 1
+    shared = durable(lists.groupBy("node").agg(F.count(F.lit(1)).alias("posted")).join(by_node, "node").filter(F.col("posted") >= enough), "posted-counts")
+    rows_of = lists.join(shared.select("node", "rep", "size"), "node").select("token", "rep", "size").distinct()
+    lists_of = durable(rows_of, "list-rows")
     # lists of the same members say the same: keep one of each
-    alike = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20)")).alias("h2"))
+    alike = lists_of.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20)")).alias("h2"))
     kept = alike.filter("n > 1").groupBy("n", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    by_node = classes.select(F.col("hi").alias("node"), "rep", F.col("n_shingles").alias("size"))
-    members = durable(lists.join(kept, "token").join(by_node, "node").select("token", "rep", "size").distinct(), "members")
+    members = durable(lists_of.join(kept, "token"), "members")
+    discard(lists_of)
     discard(lists)
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = rows.filter("text is not null").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(n), "rep bigint, hi bigint, shingles binary")
-    sets = durable(sets.join(classes.select("rep", "hi"), ["rep", "hi"], "left_semi").dropDuplicates(["rep", "hi"]), "sets")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "hi"), "rep").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("hi").alias("keys"))
+    texts = rows.filter("text is not null").join(wanted, "doc_id").withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
+    sets = durable(texts.select("doc_id", "text", "keys").mapInArrow(_sets(n), "rep bigint, shingles binary"), "sets")
     roots = _linked_components(members, sets, percent)
 
     classes_rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
@@ -334,7 +347,9 @@ def _linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
         following = components(tried.filter("linked").select("a", "b"))
         discard(roots)
         roots = following
-        members = _left_over(open_.filter(~is_short), tried, roots, percent)
+        following = durable(_left_over(open_.filter(~is_short), tried, roots, percent), "members")
+        discard(members, open_)
+        members = following
         short = SHORT if not short else 4 * short
 
 
