@@ -23,6 +23,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS
 from .common import public_columns
 
 N = 5
@@ -161,7 +162,7 @@ def scan_licenses(
         windows = rows.select("doc_id", F.explode(F.transform(starts, lambda i: _window(i, inside))).alias("w"))
         windows = windows.select("doc_id", "w.at", "w.held")
         dealt = windows.select("doc_id", "at", "held", F.posexplode(_minhashes(F.col("held"), w.bands)).alias("band", "value"))
-        met = dealt.join(bands, ["band", "value"])
+        met = dealt.join(F.broadcast(bands) if len(names) * w.bands <= BROADCAST_ROWS else bands, ["band", "value"])  # so many rows
         share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")
         found.append(met.select("doc_id", "license", "at", share.alias("share")).filter(F.col("share") >= containment))
     every = found[0]
