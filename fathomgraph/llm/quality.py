@@ -7,12 +7,16 @@ model that a worker loads. Spark counts the n-grams of all documents of each lan
 counts first. Lower orders use continuation counts, each order its own three discounts. The model is a Parquet table,
 (language, order, code) with log probabilities and back-off weights, which workers load as sorted arrays per language.
 
-The bands of a language are its quartiles of mean negative log-likelihood over documents that pass the base rules,
+Copies have one vote: documents of one language whose least hash of five words is the same are a shingle class, and each
+of ``m`` documents of a class counts as ``1 / m`` in the n-gram counts (a gram that was seen counts at least once) and as
+one row of the class in the bands. Exact copies always share a class, near copies as often as their shingles agree.
+
+The bands of a language are its quartiles of mean negative log-likelihood over classes that pass the base rules,
 widened by ``reach`` times their distance; short documents scatter more and get wider bands. A language with fewer than
-``MIN_BAND_DOCS`` such documents has no bands, so nothing is rejected by its model.
+``MIN_BAND_DOCS`` such classes has no bands, so nothing is rejected by its model.
 
 Cases: a null text has no words and fails the base rules; a null language is a language of its own; repeated rows are
-counted and returned each; an empty table gives no rows.
+counted as one and returned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, shared_path
+from ..session import broadcast_if_small, durable, shared_path
 from .common import _file_system, public_columns, text_bytes, text_slices, window_hashes, word_bounds, word_hashes
 
 ORDER = 4
@@ -92,13 +96,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if slices > SLICES:
             yield from _counted(held)
             held, slices = {}, 1
-        texts: dict[str | None, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        texts: dict[tuple[str | None, int], list[np.ndarray]] = {}
+        for lang, copies, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "copies", "text"))):
             if text:
-                texts.setdefault(lang, []).append(grams(text))
-        for lang, codes in texts.items():
-            parts = held.setdefault(lang, [])
-            parts.append(np.unique(np.concatenate(codes), return_counts=True))
+                texts.setdefault((lang, copies), []).append(grams(text))
+        for (lang, copies), codes in texts.items():
+            found, n = np.unique(np.concatenate(codes), return_counts=True)
+            held.setdefault(lang, []).append((found, n / copies))
     yield from _counted(held)
 
 
@@ -106,13 +110,44 @@ def _counted(held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]]) -> Ite
     for lang, parts in held.items():
         codes, counts = _merge(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"]
+            [pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(counts.astype(np.float64))], names=["lang", "code", "n"]
         )
 
 
+def shingle_class(data: np.ndarray) -> int:
+    """The least hash of five words of a text's UTF-8 bytes, as a signed number; of all its words if they are fewer."""
+    words = word_hashes(data, *word_bounds(data))
+    return _least(window_hashes(words, min(5, max(1, len(words)))))
+
+
+def _least(hashes: np.ndarray) -> int:
+    return int(hashes.min().view(np.int64)) if len(hashes) else 0
+
+
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "text"):
+        found = [shingle_class(data) for data in text_bytes(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("text_hash"), pa.array(found, pa.int64())], names=["lang", "text_hash", "shingles"])
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(copy_lang, copy_hash, copies): texts whose shingle class has further rows, and the rows of the class."""
+    rows = docs.filter("text is not null").mapInArrow(_classify, "lang string, text_hash binary, shingles bigint")
+    texts = durable(rows.groupBy("lang", "shingles", "text_hash").agg(F.count(F.lit(1)).alias("n")), "texts")
+    classes = texts.groupBy("lang", "shingles").agg(F.sum("n").alias("copies")).filter("copies > 1")
+    classes = classes.select(F.col("lang").alias("class_lang"), F.col("shingles").alias("class"), "copies")
+    same = texts["lang"].eqNullSafe(classes["class_lang"]) & (texts["shingles"] == classes["class"])
+    return texts.join(classes, same).select(F.col("lang").alias("copy_lang"), F.col("text_hash").alias("copy_hash"), "copies")
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all documents."""
-    return docs.mapInArrow(_count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    """(lang, code, n) over all documents, those of a shingle class with one vote together."""
+    docs = docs.withColumn("text_hash", F.unhex(F.md5("text")))
+    again = broadcast_if_small(durable(copies(docs), "copies"))
+    docs = docs.join(again, docs["lang"].eqNullSafe(again["copy_lang"]) & (docs["text_hash"] == again["copy_hash"]), "left")
+    docs = docs.select("lang", F.coalesce("copies", F.lit(1)).alias("copies"), "text")
+    counted = docs.mapInArrow(_count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return counted.select("lang", "code", F.greatest(F.lit(1), F.round("n")).cast("bigint").alias("n"))
 
 
 def _key(lang: Column) -> Column:
@@ -227,9 +262,14 @@ _SYMBOL_MARKS[list(b"#*$%&|<>")] = True
 
 def base_figures(text: str, data: np.ndarray) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its UTF-8 bytes."""
+    return _figures(text, data)[:5]
+
+
+def _figures(text: str, data: np.ndarray) -> tuple[int, int, int, int, int, int]:
+    """The base figures and the shingle class (0 below five words)."""
     starts, ends = word_bounds(data)
     if not len(starts):
-        return 0, 0, int(_SYMBOL_MARKS[data].sum()), 0, 0
+        return 0, 0, int(_SYMBOL_MARKS[data].sum()), 0, 0, 0
     points = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     chars = int((points[ends] - points[starts]).sum())
@@ -255,16 +295,16 @@ def base_figures(text: str, data: np.ndarray) -> tuple[int, int, int, int, int]:
                 dup += bool(line.strip(" \t\n\r\x0b\x0c"))
             else:
                 seen.add(line)
-    return len(starts), chars, int(_SYMBOL_MARKS[data].sum()), dup, repeated
+    return len(starts), chars, int(_SYMBOL_MARKS[data].sum()), dup, repeated, _least(windows)
 
 
 def _score(folder: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams")], ("nll", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "shingles", "n_grams")], ("nll", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            figures = [base_figures(t or "", d if d is not None else np.zeros(0, np.uint8)) for t, d in zip(texts, text_bytes(batch.column("text")))]
+            figures = [_figures(t or "", d if d is not None else np.zeros(0, np.uint8)) for t, d in zip(texts, text_bytes(batch.column("text")))]
             n_grams, nll = [0] * len(texts), [0.0] * len(texts)
             rows: dict[str, list[int]] = {}
             for k, (lang, text) in enumerate(zip(langs, texts)):
@@ -277,18 +317,19 @@ def _score(folder: str):
                 sums = np.add.reduceat(logs, np.r_[0, ends[:-1]])
                 for k, c, total in zip(some, codes, sums):
                     n_grams[k], nll[k] = len(c), -float(total) / len(c)
-            columns = [batch.column("doc_id"), langs, batch.column("text_key"), *([f[i] for f in figures] for i in range(5)), n_grams, nll]
+            columns = [batch.column("doc_id"), langs, batch.column("text_key"), *([f[i] for f in figures] for i in range(6)), n_grams, nll]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return run
 
 
-SCORED = "doc_id bigint, lang string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_grams bigint, nll double"
+SCORED = "doc_id bigint, lang string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, shingles bigint, n_grams bigint, nll double"
 
 
 def bands(scores: DataFrame, reach: float = REACH) -> DataFrame:
-    """(lang, low, high) of mean negative log-likelihood, one row per language, from documents that pass the base rules."""
-    spread = scores.filter(~F.col("base_failed")).groupBy("lang").agg(
+    """(lang, low, high) of mean negative log-likelihood, one row per language, from shingle classes that pass the base rules."""
+    classes = scores.filter(~F.col("base_failed")).groupBy("lang", "shingles").agg(F.avg("nll").alias("nll"))
+    spread = classes.groupBy("lang").agg(
         F.percentile_approx("nll", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"), F.count(F.lit(1)).alias("n")
     )
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(MIN_SPREAD)) * reach

@@ -115,6 +115,29 @@ def test_bands_reject_strange_texts_and_keep_the_rest(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_figures(text)
 
 
+def test_a_copy_group_of_a_third_of_all_rows_moves_nothing(spark):
+    clean = [("en", t) for t in sentences(2, 150, EN)] + [("de", t) for t in sentences(3, 60, DE)]
+    rng = random.Random(8)
+    rows = list(clean)
+    for lang, syllables, n in (("en", EN, 75), ("de", DE, 30)):
+        one = sentences(9, 1, syllables)[0].split(" ")
+        near = [one[:k] + [rng.choice(one)] + one[k + 1 :] for k in (rng.randrange(len(one)) for _ in range(n))]
+        rows += [(lang, " ".join(one))] * n + [(lang, " ".join(x)) for x in near]
+    documented = documents(spark, [(k, t, lang, "s") for k, (lang, t) in enumerate(rows)])
+    got = {r["doc_id"]: r for r in quality.score_documents(documented).collect()}
+    assert len(got) == len(rows) and [k for k in range(len(clean)) if not got[k]["kept"]] == []
+    alone = {r["doc_id"]: r for r in quality.score_documents(documents(spark, [(k, t, lang, "s") for k, (lang, t) in enumerate(clean)])).collect()}
+    for k in (0, 150):
+        assert got[k]["upper"] / got[k]["lower"] == pytest.approx(alone[k]["upper"] / alone[k]["lower"], rel=0.5)
+
+
+def test_exact_copies_leave_the_counts(spark):
+    texts = sentences(5, 20, EN)
+    once = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).select("lang", "text")
+    again = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts + texts[:1] * 10)]).select("lang", "text")
+    assert sorted(map(tuple, quality.gram_counts(once).collect())) == sorted(map(tuple, quality.gram_counts(again).collect()))
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = quality.score_documents(docs).collect()
