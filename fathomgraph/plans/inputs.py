@@ -275,11 +275,25 @@ def relation_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scored_spans(spark, sf_dir)
     a = p.select("doc", "sent", F.col("s").alias("s1"), F.col("e").alias("e1"), F.explode(F.array(*[F.col("s") + k for k in (-3, -2, -1, 1, 2, 3)])).alias("s2"))
     b = p.select("doc", "sent", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    return a.join(b, ["doc", "sent", "s2"]).select("doc", "sent", "s1", "e1", "s2", "e2", _class_scores().alias("logp"))
+
+
+def _class_scores() -> Column:
     classes = len(SYMMETRIC) + 2 * len(DIRECTED)
-    score = F.transform(
+    return F.transform(
         F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: ((F.col("s1") * 31 + F.col("s2") * 17 + k * 7 + F.col("s1") * k) % 101).cast("double")
     )
-    return a.join(b, ["doc", "sent", "s2"]).select("doc", "sent", "s1", "e1", "s2", "e2", score.alias("logp"))
+
+
+def pair_logits(entities: DataFrame) -> DataFrame:
+    """Class scores of all ordered pairs of predicted entities of a sentence, however far apart.
+
+    The span budget of ``prune_spans`` bounds the entities, so the pairs, of a sentence.
+    """
+    a = entities.select("doc", "sent", F.col("s").alias("s1"), F.col("e").alias("e1"))
+    b = entities.select("doc", "sent", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    pairs = a.join(b, ["doc", "sent"]).filter((F.col("s1") != F.col("s2")) | (F.col("e1") != F.col("e2")))
+    return pairs.select("doc", "sent", "s1", "e1", "s2", "e2", _class_scores().alias("logp"))
 
 
 cte("logits", "SELECT a.doc, a.sent, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, "

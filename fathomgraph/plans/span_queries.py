@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BRACKET_TOKENS
 from ..operators import spans
+from ..session import durable
 from . import inputs as i
 from .inputs import DIRECTED, SYMMETRIC, r9
 from .registry import cte, query
@@ -156,6 +157,18 @@ def _(spark, d):
     return _decoded(spark, d)
 
 
+def _decoded_pairs(spark, d):
+    """(predicted entities within the span budget, decoded relations of all their pairs)."""
+    pruned = durable(spans.prune_spans(i.scored_spans(spark, d), i.sentence_rows(spark, d)), "pruned")
+    return pruned, spans.decode_relations(i.pair_logits(pruned), SYMMETRIC, DIRECTED)
+
+
+@query("m9_decoded_relations_all_pairs")
+def _(spark, d):
+    """All pairs of a sentence, as the reference scores them; m9_decoded_relations and its twin stop at 3 tokens."""
+    return _decoded_pairs(spark, d)[1]
+
+
 def _prf_sql(cor: str, pred: str, gold: str, prefix: str) -> str:
     return (
         f"round({cor} / {pred}::DOUBLE, 9) AS {prefix}precision, round({cor} / {gold}::DOUBLE, 9) AS {prefix}recall, "
@@ -199,6 +212,13 @@ def _(spark, d):
     return df.select(*[r9(F.col(c)).alias(c) for c in df.columns])
 
 
+@query("m11_relation_scores_all_pairs")
+def _(spark, d):
+    pruned, decoded = _decoded_pairs(spark, d)
+    df = spans.relation_scores(decoded, i.gold_relations(spark, d), pruned, i.gold(spark, d), SYMMETRIC[1:])
+    return df.select(*[r9(F.col(c)).alias(c) for c in df.columns])
+
+
 @query(
     "m12_folded_predictions",
     "SELECT doc, sent, coalesce(string_agg(s || '-' || e || '-' || label, ' ' ORDER BY s, e, label), '') AS predicted FROM sents LEFT JOIN spans USING (doc, sent) GROUP BY doc, sent", "sents", "spans",
