@@ -234,6 +234,14 @@ def newly_connected(seen: DataFrame, year: int, later: int) -> DataFrame:
     return fresh.join(active.withColumnRenamed("v", "v1"), "v1", "left_semi").join(active.withColumnRenamed("v", "v2"), "v2", "left_semi").select("v1", "v2")
 
 
+def still_open(pairs: DataFrame, seen: DataFrame, year: int, later: int) -> DataFrame:
+    """Of the given pairs, those with both ends active in ``year`` that are no edge by ``later``; a shared neighbour is
+    not asked for."""
+    active = active_vertices(connected_pairs(seen, year)).select("v")
+    free = unconnected_pairs(pairs, connected_pairs(seen, later))
+    return free.join(active.withColumnRenamed("v", "v1"), "v1", "left_semi").join(active.withColumnRenamed("v", "v2"), "v2", "left_semi").select("v1", "v2")
+
+
 def transition(unconnected: DataFrame, later: DataFrame) -> DataFrame:
     """Unconnected pairs with ``connected``: are they an edge at the later date?"""
     edge = canonical(later.select("v1", "v2")).distinct().withColumn("_edge", F.lit(True))

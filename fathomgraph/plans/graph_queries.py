@@ -475,6 +475,15 @@ def _(spark, d):
     return labels.label_from_solutions(i.scored_pairs(spark, d).withColumn("score", r9(F.col("score"))), solved, rest)
 
 
+@query("h7_label_from_solutions_all_open")
+def _(spark, d):
+    """Label 0 for every scored pair that stays open; h7_label_from_solutions and its twin ask for a shared neighbour."""
+    seen = durable(graph.first_seen(i.edges(spark, d)), "seen")
+    scored = durable(i.scored_pairs(spark, d), "scored")
+    rest = graph.still_open(scored, seen, YEAR, LATER)
+    return labels.label_from_solutions(scored.withColumn("score", r9(F.col("score"))), graph.newly_connected(seen, YEAR, LATER), rest)
+
+
 @query(
     "h8_feature_lookup",
     "SELECT o.v1, o.v2, round(score, 9) AS score, s.v1 IS NOT NULL AS found FROM open_pairs o LEFT JOIN scored s USING (v1, v2)", "open_pairs", "scored",
