@@ -2,7 +2,7 @@
 
 A document costs ``linear * n + quadratic * n**2``. Documents are dealt into shards of a bounded number of tokens; in a
 shard, documents go in descending length to the sequence of lowest cost that still has room. The sequences of a shard
-hold exactly its tokens: full ones, and for the rest one for each power of two in its binary form, which needs no
+hold exactly its tokens (documents are dealt by a hash of id and text, rows that repeat both by their place too): full ones, and for the rest one for each power of two in its binary form, which needs no
 padding. What no sequence has room for is cut where the roomiest sequence ends.
 
 Cases: a null text is empty and still has its end id (without an end id, a document without tokens gives no piece); a
@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, durable
 from .common import public_columns, text_slices
 from .tokens import encoded, word_encoder
 
@@ -66,13 +68,38 @@ def place(lengths: list[int], capacity: int, linear: float, quadratic: float) ->
     return sizes, pieces
 
 
+def _scatter(x: int) -> int:
+    """A scrambling of 64-bit numbers."""
+    x %= 1 << 64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """With the hash of the text, and whether further rows have this id and text."""
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    counted = keyed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = broadcast_if_small(durable(counted.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key")), "repeated"))
+    same = keyed["doc_id"].eqNullSafe(again["again_id"]) & (keyed["text_key"] == again["again_key"])
+    return keyed.join(again, same, "left").select("doc_id", "text_key", F.col("again_key").isNotNull().alias("repeated"), "text")
+
+
 def _cut(path: str, end_id: int | None, capacity: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
+        context = TaskContext.get()
+        place = context.partitionId() if context else 0
+        seen: dict[tuple[int | None, int], int] = {}
         for batch in text_slices(batches, "text"):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch, "text", encoder, end_id)):
-                spread = ((doc or 0) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 20
+            docs, keys, repeated = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "repeated"))
+            for doc, key, again, ids in zip(docs, keys, repeated, encoded(batch, "text", encoder, end_id)):
+                spread = _scatter((doc or 0) + _scatter(key))
+                if again:
+                    nth = seen[doc, key] = seen.get((doc, key), 0) + 1
+                    spread = _scatter(spread + _scatter((place << 40) + nth))
+                spread >>= 20
                 for part, start in enumerate(range(0, len(ids), capacity)):
                     rows.append(((spread + part) % shards, doc, start, len(ids), ids[start : start + capacity].tobytes()))
             shard, doc, start, total, ids = zip(*rows) if rows else ((), (), (), (), ())
@@ -119,5 +146,5 @@ def pack_documents(
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     shards = max(1, -(-chars // shard_chars))
     dtype = word_encoder(tokenizer_path).dtype.str
-    pieces = rows.mapInArrow(_cut(tokenizer_path, end_id, capacity, shards), PIECES)
+    pieces = _marked(rows).mapInArrow(_cut(tokenizer_path, end_id, capacity, shards), PIECES)
     return pieces.groupBy("shard").applyInArrow(_pack(capacity, linear, quadratic, dtype), PLACED)

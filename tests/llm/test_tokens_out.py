@@ -109,6 +109,17 @@ def test_packing_holds_each_id_once(spark, encode):
     check_packing(docs, packing.pack_documents(docs, PATH, capacity=128, shard_chars=20_000), encode, 128)
 
 
+def test_shards_stay_bounded_under_one_key(spark, encode):
+    text = " ".join(f"word{k}" for k in range(40))
+    distinct = [(key, f"{k} {text}", "en", "s") for key in (None, 7) for k in range(200)]
+    repeated = [(key, text, "en", "s") for key in (None, 8) for _ in range(200)]
+    docs = documents(spark, distinct + repeated).repartition(4)
+    pieces = packing.pack_documents(docs, PATH, capacity=128, shard_chars=20_000)
+    check_packing(docs, pieces, encode, 128)
+    sizes = pieces.groupBy(F.shiftright("sequence_id", 32)).agg(F.sum(F.octet_length("ids") / 4).alias("n")).toPandas()["n"]
+    assert len(sizes) >= 10 and sizes.max() < 2 * sizes.mean()
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(empty(spark), PATH).count() == 0
 
