@@ -13,7 +13,8 @@ one row of the class in the bands. Exact copies always share a class, near copie
 
 The bands of a language are its quartiles of mean negative log-likelihood over classes that pass the base rules,
 widened by ``reach`` times their distance; short documents scatter more and get wider bands. A language with fewer than
-``MIN_BAND_DOCS`` such classes has no bands, so nothing is rejected by its model.
+``MIN_BAND_DOCS`` such classes has no bands of its own: its documents are scored, with all others, by one model over all
+languages, and judged by the band that holds those of all languages under that model (without any, by one of all classes).
 
 Cases: a null text has no words and fails the base rules; a null language is a language of its own; repeated rows are
 counted as one and returned each; an empty table gives no rows.
@@ -201,8 +202,11 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> str:
     """Count, fit and store a model of each language; returns the folder."""
-    counts = durable(gram_counts(public_columns(docs, lang=lang, text=text)), "gram-counts")
-    folder = shared_path(docs.sparkSession, "language-model")
+    return store_model(durable(gram_counts(public_columns(docs, lang=lang, text=text)), "gram-counts"))
+
+
+def store_model(counts: DataFrame) -> str:
+    folder = shared_path(counts.sparkSession, "language-model")
     model = kneser_ney(counts)
     model.repartition("lang", "level", F.pmod("code", F.lit(16))).sortWithinPartitions("lang", "level", "code").write.partitionBy("lang").parquet(folder)
     return folder
@@ -298,7 +302,8 @@ def _figures(text: str, data: np.ndarray) -> tuple[int, int, int, int, int, int]
     return len(starts), chars, int(_SYMBOL_MARKS[data].sum()), dup, repeated, _least(windows)
 
 
-def _score(folder: str):
+def _score(folder: str, pooled: bool = False):
+    """Score by the model of each text's language, or (``pooled``) by that of the null language."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_key", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "shingles", "n_grams")], ("nll", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +314,7 @@ def _score(folder: str):
             rows: dict[str, list[int]] = {}
             for k, (lang, text) in enumerate(zip(langs, texts)):
                 if text:
-                    rows.setdefault("null" if lang is None else "x" + lang.encode().hex(), []).append(k)
+                    rows.setdefault("null" if lang is None or pooled else "x" + lang.encode().hex(), []).append(k)
             for key, some in rows.items():
                 codes = [grams(texts[k]) for k in some]
                 logs = load_model(folder, key).log_probabilities(np.concatenate(codes)).astype(np.float64)
@@ -326,14 +331,14 @@ def _score(folder: str):
 SCORED = "doc_id bigint, lang string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, shingles bigint, n_grams bigint, nll double"
 
 
-def bands(scores: DataFrame, reach: float = REACH) -> DataFrame:
+def bands(scores: DataFrame, reach: float = REACH, least: int = MIN_BAND_DOCS) -> DataFrame:
     """(lang, low, high) of mean negative log-likelihood, one row per language, from shingle classes that pass the base rules."""
     classes = scores.filter(~F.col("base_failed")).groupBy("lang", "shingles").agg(F.avg("nll").alias("nll"))
     spread = classes.groupBy("lang").agg(
         F.percentile_approx("nll", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"), F.count(F.lit(1)).alias("n")
     )
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(MIN_SPREAD)) * reach
-    return spread.filter(F.col("n") >= MIN_BAND_DOCS).select(
+    return spread.filter(F.col("n") >= least).select(
         F.col("lang").alias("band_lang"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), width.alias("reach")
     )
 
@@ -341,13 +346,19 @@ def bands(scores: DataFrame, reach: float = REACH) -> DataFrame:
 def score_documents(docs: DataFrame, reach: float = REACH, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Figures of the base rules, perplexity per symbol, the document's band, and ``kept``; one row per document."""
     rows = public_columns(docs, doc_id=doc_id, lang=lang, text=text).withColumn("text_key", F.xxhash64("text"))
-    folder = train(docs, text, lang)
-    scores = rows.mapInArrow(_score(folder), SCORED)
+    counts = durable(gram_counts(rows.select("lang", "text")), "gram-counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scores = durable(scores.withColumn("base_failed", failed), "quality")
+    scores = durable(rows.mapInArrow(_score(store_model(counts)), SCORED).withColumn("base_failed", failed), "quality")
     limits = durable(bands(scores, reach), "bands")
-    wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(TYPICAL_SYMBOLS)) / F.col("n_grams")))
+    wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(TYPICAL_SYMBOLS)) / F.greatest(F.lit(1), F.col("n_grams"))))
     joined = scores.join(limits, scores["lang"].eqNullSafe(limits["band_lang"]), "left")
+    if not joined.filter(F.col("q1").isNull() & ~F.col("base_failed")).isEmpty():
+        every = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "code", "n")
+        pooled = durable(rows.mapInArrow(_score(store_model(every), pooled=True), SCORED).withColumn("base_failed", failed), "quality-of-all")
+        found = bands(pooled.withColumn("lang", F.lit(None).cast("string")), reach, 1) if limits.isEmpty() else bands(pooled, reach)
+        band = durable(found.agg(*[f(c).alias(c) for f, c in ((F.min, "q1"), (F.max, "q3"), (F.max, "reach"))]).select(F.lit(None).cast("string").alias("band_lang"), "*"), "band-of-all")
+        rare = pooled.join(limits, pooled["lang"].eqNullSafe(limits["band_lang"]), "left_anti")
+        joined = joined.filter("q1 is not null").unionByName(rare.join(F.broadcast(band)))
     low, high = F.col("q1") - F.col("reach") * wide, F.col("q3") + F.col("reach") * wide
     inside = F.coalesce((F.col("nll") >= low) & (F.col("nll") <= high), F.lit(True))
     return joined.select(

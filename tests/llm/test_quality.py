@@ -138,6 +138,17 @@ def test_exact_copies_leave_the_counts(spark):
     assert sorted(map(tuple, quality.gram_counts(once).collect())) == sorted(map(tuple, quality.gram_counts(again).collect()))
 
 
+def test_rare_languages_are_judged(spark):
+    texts = [("en", t) for t in sentences(2, 150, EN)] + [("de", t) for t in sentences(3, 60, DE)] + [("xx", t) for t in sentences(4, 5, EN)] + [(None, t) for t in sentences(7, 5, DE)]
+    rng = random.Random(6)
+    noise = [" ".join("".join(rng.choices("bcdfgjklmpqvwxyz0+/", k=7)) for _ in range(150)) for _ in range(2)]
+    rows = [(k, t, lang, "s") for k, (lang, t) in enumerate([*texts, ("xx", noise[0]), (None, noise[1])])]
+    got = {r["doc_id"]: r for r in quality.score_documents(documents(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[k]["kept"] for k in range(len(texts)))
+    for k in (len(texts), len(texts) + 1):
+        assert not got[k]["base_failed"] and got[k]["perplexity"] > got[k]["upper"] and not got[k]["kept"]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = quality.score_documents(docs).collect()
