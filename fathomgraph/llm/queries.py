@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, pii, pivots, planes, quality, secrets, warc
+from . import alignment, jaccard, licenses, mixing, packing, phrases, pii, pivots, planes, quality, secrets, warc
 from .common import table
 from .tokens import vocabulary_path
 
@@ -93,6 +93,16 @@ def op10_archive_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score_alignments(table(spark, sf_dir, "documents"), *alignment.vocabulary_paths())
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op10_archive_conversion"] = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM p)
@@ -116,3 +126,31 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(r.root, e.vec_id)) AS component_id,
     e.vec_id = least(e.vec_id, coalesce(r.root, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN counts c USING (vec_id) LEFT JOIN roots r USING (vec_id)"""
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+p AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\n\x0B\x0C\r]+')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws[i:i + k - 1] AS ph, k FROM o, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+n AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+f AS (SELECT lang, ph, k, count(*) AS f FROM g GROUP BY lang, ph, k HAVING count(*) >= 30),
+c AS (SELECT * FROM f WHERE k > 1),
+inner_parts AS (
+    SELECT lang, ph[i:i + s - 1] AS ph, max(f) AS outer_f
+    FROM (SELECT lang, ph, f, k, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT lang, ph, f, k, unnest(range(2, k)) AS s FROM c WHERE k > 2))
+    GROUP BY 1, 2
+),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_parts USING (lang, ph) WHERE outer_f IS NULL OR 100::HUGEINT * outer_f < 80::HUGEINT * f),
+cuts AS (SELECT lang, ph, f AS a, k, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+    SELECT cuts.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ph = cuts.ph[1:cuts.cut] JOIN f y ON y.lang = cuts.lang AND y.ph = cuts.ph[cuts.cut + 1:cuts.k]
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) AS low FROM scored),
+named AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM best WHERE low = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
