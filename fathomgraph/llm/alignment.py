@@ -92,7 +92,7 @@ class Chunks:
         if not self.cuts:
             return [text]
         parts = text.split(" ")
-        if all(p and not p[-1].isspace() for p in set(parts[:-1])):
+        if parts[-1] and all(p and not p[-1].isspace() for p in set(parts[:-1])):
             return parts
         out: list[str] = []
         held: list[str] = []
@@ -101,8 +101,8 @@ class Chunks:
             if p and not p[-1].isspace():
                 out.append(" ".join(held))
                 held = []
-        if held:
-            out.append(" ".join(held))
+        if held:  # white space at the end of the text stays with what is before it
+            out[-1:] = [" ".join([*out[-1:], *held])]
         return out
 
     def learn(self, chunks: list[str]) -> None:
