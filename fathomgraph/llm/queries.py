@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, jaccard, licenses, mixing, packing, phrases, pii, pivots, planes, quality, secrets, warc
+from . import alignment, blocks, jaccard, licenses, mixing, packing, phrases, pii, pivots, planes, quality, secrets, warc
 from .common import table
 from .tokens import vocabulary_path
 
@@ -93,6 +93,11 @@ def op10_archive_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+@query
+def op11_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.score_alignments(table(spark, sf_dir, "documents"), *alignment.vocabulary_paths())
