@@ -40,7 +40,9 @@ SHARDS = 10
 #: Size of the map of candidates: 16 MB, whatever the size of the corpus.
 MAP_BITS = 1 << 27
 #: Words whose keys a task holds before it combines and sends them.
-HELD_WORDS = 4_000_000
+HELD_WORDS = 2_000_000
+#: Bytes of text that a task reads at once; one longer text is read whole.
+SLICE = 2_000_000
 
 _SEPARATOR = np.zeros(256, dtype=np.uint8)  # 1 between words, 2 between pieces
 _SEPARATOR[[0x20, 0x09]] = 1
@@ -139,7 +141,7 @@ def _runs(words: _Words, maps: dict[int, np.ndarray], lengths: tuple[int, ...])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text", 8_000_000):
+    for batch in text_slices(batches, "text", SLICE):
         words = _Words(batch)
         if not len(words.hashes):
             continue
@@ -162,7 +164,7 @@ def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
         own = {k: m.value for k, m in maps.items()}
         held: list[np.ndarray] = []
         size = 0
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             for _, good, keys in _runs(_Words(batch), own, lengths):
                 held.append(keys[good])
                 size += len(held[-1])
@@ -199,7 +201,7 @@ def _exact(docs: DataFrame, maps: dict) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: m.value for k, m in maps.items()}
-        for batch in text_slices(batches, "text", 8_000_000):
+        for batch in text_slices(batches, "text", SLICE):
             words = _Words(batch)
             for n, good, keys in _runs(words, own, tuple(range(2, MAX_WORDS + 1))):
                 at = np.flatnonzero(good)
