@@ -5,13 +5,14 @@ The graph of year y is the rows whose first day is not after 31 December of y, s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import cutoff_day
-from ..session import broadcast_if_small, discard, durable
+from ..session import broadcast_if_small, discard, discard_path, durable, shared_path
 
 
 def first_seen(edges: DataFrame) -> DataFrame:
@@ -70,6 +71,45 @@ def degrees(adj: DataFrame, vertices: DataFrame, years: Sequence[int], v: str =
     )
 
 
+#: Edges of a vertex that stay together: a vertex with more has them dealt by target into cells.
+CELL_EDGES = 16_384
+
+
+def write_cells(adj: DataFrame, cell_edges: int = CELL_EDGES, buckets: int | None = None) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
+    """The edges laid out once by (source, cell of targets), the cells of each source, and what deletes the layout.
+
+    A vertex cut: a source's edges are dealt by a hash of the target into cells of about ``cell_edges``, so that a hub is
+    spread over many buckets, while a small vertex has one cell. The table is bucketed and sorted by its key, so joins on
+    (src, cell) move only the other side; it is written in the shared folder and held by no executor.
+    """
+    spark = adj.sparkSession
+    cells = durable(adj.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / cell_edges).cast("int").alias("cells")), "cells")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = adj.join(cells, "src").withColumn("cell", F.pmod(F.xxhash64("dst"), F.col("cells")).cast("int")).drop("cells")
+    name = f"edge_cells_{uuid.uuid4().hex}"
+    path = shared_path(spark, "edge-cells")
+    out = rows.repartition(buckets, "src", "cell").write.format("parquet").bucketBy(buckets, "src", "cell").sortBy("src", "cell")
+    out.option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(cells)
+        discard_path(spark, path)
+
+    return spark.table(name), cells, drop
+
+
+def rank_inflow(edges: DataFrame, shares: DataFrame, years: Sequence[int], v: str) -> DataFrame:
+    """(v, in<year> ...): what each vertex gets of the shares (src, cells, s<year> ...) along the laid out edges.
+
+    A share goes once to each cell of its vertex; sums are combined in each bucket before the only shuffle of inflows.
+    """
+    sent = shares.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    return edges.join(sent, ["src", "cell"]).groupBy(F.col("dst").alias(v)).agg(
+        *[F.sum(F.when(known_in(y), F.col(f"s{y}"))).alias(f"in{y}") for y in years]
+    )
+
+
 def pagerank(
     adj: DataFrame, vertices: DataFrame, years: Sequence[int], *, damping: float = 0.85, tolerance: float = 1e-6,
     max_iterations: int = 100, v: str = "v1",
@@ -92,26 +132,22 @@ def pagerank(
 
     # lr<year>, the rank of a vertex without neighbours, travels with the rows: the steps then differ in no constant
     # and share their compiled code.
+    edges, cells, drop = write_cells(adj)  # a step moves ranks, never edges
+    at = cells.select(F.col("src").alias(v), "cells")
     state = durable(
-        deg.select("*", *[F.lit(1.0 / n).alias(c) for y in years for c in (f"pr{y}", f"lr{y}")]), "rank"
+        deg.join(at, v, "left").withColumn("cells", F.coalesce("cells", F.lit(0))).select("*", *[F.lit(1.0 / n).alias(c) for y in years for c in (f"pr{y}", f"lr{y}")]), "rank"
     )
-    # The edges stay partitioned by source in executor memory or disk: a step moves ranks, never edges. What an executor
-    # held is read again if it is lost.
-    parts = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = adj.repartition(parts, "src").persist()
     running = list(years)
     for _ in range(max_iterations):
-        shares = state.select(
-            F.col(v).alias("src"), *[F.when(F.col(f"d{y}") > 0, F.col(f"pr{y}") / F.col(f"d{y}")).alias(f"s{y}") for y in running]
-        )
-        inflow = edges.join(shares, "src").groupBy(F.col("dst").alias(v)).agg(
-            *[F.sum(F.when(known_in(y), F.col(f"s{y}"))).alias(f"in{y}") for y in running]
+        shares = state.filter("cells > 0").select(
+            F.col(v).alias("src"), "cells", *[F.when(F.col(f"d{y}") > 0, F.col(f"pr{y}") / F.col(f"d{y}")).alias(f"s{y}") for y in running]
         )
+        inflow = rank_inflow(edges, shares, running, v)
         base = (1 - damping) / n
         moved = state.join(inflow, v, "left")
         following = durable(
             moved.select(
-                v, *[f"d{y}" for y in years], *[f"{c}{y}" for y in years if y not in running for c in ("pr", "lr")],
+                v, "cells", *[f"d{y}" for y in years], *[f"{c}{y}" for y in years if y not in running for c in ("pr", "lr")],
                 *[
                     (damping * (F.coalesce(f"in{y}", F.lit(0.0)) + spread(y, F.col(f"lr{y}"))) + base).alias(f"pr{y}")
                     for y in running
@@ -128,7 +164,7 @@ def pagerank(
             running = [y for y in running if not drift[f"e{y}"] < n * tolerance]
             if not running:
                 break
-    edges.unpersist()
+    drop()
     if running and tolerance > 0:
         raise RuntimeError(f"no convergence in {max_iterations} steps for the years {running}")
     return state.select(v, *[f"pr{y}" for y in years])
@@ -143,7 +179,13 @@ def neighbour_words(adj: DataFrame, years: Sequence[int]) -> DataFrame:
 
 
 def shared_neighbours(pairs: DataFrame, adj: DataFrame, degree: DataFrame, years: Sequence[int], salt_rows: int = 4096) -> DataFrame:
-    """(v1, v2, n<year> ...): neighbours that both ends have in each year.
+    """(v1, v2, n<year> ...): neighbours that both ends have in each year."""
+    words = durable(neighbour_words(adj.filter(known_in(max(years))), years), "words")
+    return shared_of_words(pairs, words, degree, years, salt_rows)
+
+
+def shared_of_words(pairs: DataFrame, words: DataFrame, degree: DataFrame, years: Sequence[int], salt_rows: int = 4096) -> DataFrame:
+    """(v1, v2, n<year> ...) from the packed neighbours of the ends.
 
     Each pair walks the packed neighbours of its end of smaller degree and probes those of the other end, so a hub never
     lists its whole neighbourhood against a small vertex. Neighbours of large vertices are split by salt.
@@ -159,7 +201,6 @@ def shared_neighbours(pairs: DataFrame, adj: DataFrame, degree: DataFrame, years
         F.when(small_first, F.col("v2")).otherwise(F.col("v1")).alias("_far"),
         F.explode(F.sequence(F.lit(0), F.expr(f"cast(least(_d, _e) div {salt_rows} as int)"))).alias("_salt"),
     )
-    words = durable(neighbour_words(adj.filter(known_in(last)), years), "words")
     near = words.join(d.withColumnRenamed("v1", "src"), "src").select(
         "src", "word", *[F.col(f"b{y}").alias(f"_n{y}") for y in years],
         F.pmod(F.xxhash64("word"), F.expr(f"_d div {salt_rows} + 1")).cast("int").alias("_salt"),
@@ -211,6 +252,28 @@ def sharing_pairs(adj: DataFrame, year: int, block: int = 256) -> DataFrame:
     return left.join(right, ["src", "_x", "_y"]).filter("v1 < v2").groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def open_sharing_pairs(adj: DataFrame, year: int, until: int | None = None, block: int = 4096) -> DataFrame:
+    """(v1, v2), v1 < v2: pairs with a neighbour in common in ``year`` that are no edge by ``until`` (``year`` itself by default).
+
+    All steps work on packed neighbours: each neighbour of a vertex meets the words of the vertex's other neighbours, 64 of
+    them at a time; words are combined by ``bit_or``, known edges are cleared by a mask, and pairs are listed only at the
+    end. Neighbours of hubs are dealt into blocks of about ``block``, so that no task has all of a hub.
+    """
+    near = adj.filter(known_in(year) & (F.col("src") != F.col("dst"))).select("src", "dst")
+    bit = F.expr("shiftleft(1L, cast(pmod(dst, 64) as int))")
+    words = near.groupBy("src", F.shiftright("dst", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    sizes = durable(near.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")), "blocks")
+    left = near.join(sizes, "src").select("src", F.col("dst").alias("v1"), F.pmod(F.xxhash64("dst"), F.col("_blocks")).cast("int").alias("_block"))
+    right = words.join(sizes, "src").select("src", "word", "bits", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    met = left.join(right, ["src", "_block"]).filter(F.col("word") >= F.shiftright("v1", 6)).groupBy("v1", "word").agg(F.bit_or("bits").alias("bits"))
+    gone = adj.filter(known_in(until or year)).groupBy(F.col("src").alias("v1"), F.shiftright("dst", 6).alias("word")).agg(F.bit_or(bit).alias("_edges"))
+    later = F.expr("if(word > shiftright(v1, 6), -1L, shiftleft(shiftleft(-1L, cast(pmod(v1, 64) as int)), 1))")
+    kept = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_edges", F.lit(0).cast("bigint")))).bitwiseAND(later)
+    free = met.join(gone, ["v1", "word"], "left").select("v1", "word", kept.alias("bits")).filter("bits <> 0")
+    listed = free.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(63)))).filter("(shiftright(bits, _at) & 1) = 1")
+    return listed.select("v1", (F.col("word") * 64 + F.col("_at")).cast(adj.schema["dst"].dataType).alias("v2"))
+
+
 def pair_counts(active: DataFrame, connected: DataFrame, sharing: DataFrame) -> DataFrame:
     """One row: vertices, all pairs of them (by arithmetic), and of those the edges, the open pairs that share a
     neighbour, and the other open pairs, which are counted and never listed."""

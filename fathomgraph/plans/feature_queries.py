@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import PAIR_CITATION_NAMES, PAIR_NAMES, pair_citations, pair_indices
 from ..operators import citations, evaluate, features, graph, labels, ranking
+from ..operators.best_pairs import best_open_pairs
 from ..operators.features import CITATION_BASE, CITATION_NAMES, NODE_NAMES, VERTEX_NAMES, YEARLY_NAMES
 from ..session import durable, shared_path
 from . import inputs as i
@@ -365,18 +366,6 @@ def _(spark, d):
     return ranking.sort_predictions(i.scored_pairs(spark, d).withColumn("score", r9(F.col("score"))))
 
 
-def similar_open_pairs(spark, d):
-    """Jaccard index of the shared neighbours of all pairs that are open in YEAR."""
-    seen, free = open_pairs(spark, d)
-    adj = graph.adjacency(seen)
-    deg = durable(graph.degrees(adj, i.vertices(spark, d), [YEAR]), "degree")
-    counted = graph.shared_neighbours(free, adj, deg, [YEAR])
-    a = deg.select("v1", F.col(f"d{YEAR}").alias("_a"))
-    b = deg.select(F.col("v1").alias("v2"), F.col(f"d{YEAR}").alias("_b"))
-    score = pair_indices(F.col(f"n{YEAR}"), F.col("_a"), F.col("_b"))["jaccard"]
-    return counted.join(a, "v1").join(b, "v2").select("v1", "v2", score.alias("score"))
-
-
 cte(
     "open_scored",
     f"SELECT o.v1, o.v2, CASE WHEN a.deg + b.deg - coalesce(n, 0) > 0 THEN coalesce(n, 0)::DOUBLE / (a.deg + b.deg - coalesce(n, 0)) ELSE 0 END AS score FROM open_pairs o "
@@ -391,10 +380,27 @@ cte(
     "(SELECT * FROM open_scored ORDER BY score DESC, v1, v2 LIMIT 10) t JOIN concepts a ON a.concept_id = v1 JOIN concepts b ON b.concept_id = v2", "open_scored", "concepts",
 )
 def _(spark, d):
-    best = ranking.top_k(similar_open_pairs(spark, d), 10)
+    best = best_open_pairs(graph.adjacency(graph.first_seen(i.dated_pairs(spark, d))), YEAR, 10)
     return ranking.name_pairs(best.withColumn("score", r9(F.col("score"))), i.concepts(spark, d))
 
 
+cte("part_near", f"SELECT v1 AS src, v2 AS dst FROM part_seen WHERE first_day <= {sql_cutoff(YEAR)} UNION ALL SELECT v2, v1 FROM part_seen WHERE first_day <= {sql_cutoff(YEAR)}", "part_seen")
+cte("part_degree", "SELECT src, count(*) AS deg FROM part_near GROUP BY src", "part_near")
+cte("part_shared", "SELECT x.dst AS v1, y.dst AS v2, count(*) AS n FROM part_near x JOIN part_near y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2", "part_near")
+
+
+@query(
+    "k2_top_part_pairs",
+    "SELECT s.v1, s.v2, round(n::DOUBLE / (a.deg + b.deg - n), 9) AS score FROM part_shared s JOIN part_degree a ON a.src = s.v1 JOIN part_degree b ON b.src = s.v2 "
+    "WHERE NOT EXISTS (SELECT 1 FROM part_near e WHERE e.src = s.v1 AND e.dst = s.v2) ORDER BY n::DOUBLE / (a.deg + b.deg - n) DESC, s.v1, s.v2 LIMIT 100",
+    "part_shared", "part_degree", "part_near",
+)
+def _(spark, d):
+    """The best hundred open pairs of the graph of single parts."""
+    best = best_open_pairs(graph.adjacency(graph.first_seen(i.dated_part_pairs(spark, d))), YEAR, 100)
+    return best.withColumn("score", r9(F.col("score")))
+
+
 cte("early", f"SELECT c.* FROM concepts c SEMI JOIN (SELECT v1 AS concept_id FROM mentions WHERE time <= {sql_cutoff(1995)}) USING (concept_id)", "concepts", "mentions")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import citations, cooccur, graph, labels
 from ..session import durable
+from ..sources import stored
 from . import inputs as i
 from .inputs import C_COLUMNS, FEATURE_YEARS, LATER, YEAR, YEARS, r9, sql_cutoff
 from .registry import cte, query
@@ -329,7 +330,7 @@ cte("open_pairs", f"SELECT v1, v2 FROM sharing ANTI JOIN (SELECT v1, v2 FROM see
 def open_pairs(spark, d):
     """(dated pairs, pairs that share a neighbour in YEAR and are not an edge in YEAR)."""
     seen = durable(graph.first_seen(i.dated_pairs(spark, d)), "seen")
-    return seen, graph.unconnected_pairs(graph.sharing_pairs(graph.adjacency(seen), YEAR), graph.connected_pairs(seen, YEAR))
+    return seen, graph.open_sharing_pairs(graph.adjacency(seen), YEAR)
 
 
 @query("g10_sharing_pairs", "SELECT * FROM sharing", "sharing")
@@ -382,8 +383,7 @@ def solution_sets(spark, d):
     edges = durable(i.edges(spark, d), "edges")
     seen = durable(graph.first_seen(edges), "seen")
     solved = labels.connected_solutions(graph.newly_connected(seen, YEAR, LATER), edges, LATER)
-    free = graph.sharing_pairs(graph.adjacency(seen), YEAR)
-    return edges, solved, labels.unconnected_solutions(graph.unconnected_pairs(free, graph.connected_pairs(seen, LATER)))
+    return edges, solved, labels.unconnected_solutions(graph.open_sharing_pairs(graph.adjacency(seen), YEAR, LATER))
 
 
 def solutions(spark, d):
@@ -500,3 +500,15 @@ def _(spark, d):
 def _(spark, d):
     _, free = open_pairs(spark, d)
     return labels.lookup_report(labels.lookup_features(free, i.scored_pairs(spark, d)))
+
+
+@query(
+    "h8_stored_lookup",
+    "SELECT o.v1, o.v2, round(score / top, 9) AS score, s.v1 IS NOT NULL AS found FROM open_pairs o LEFT JOIN scored s USING (v1, v2), (SELECT max(score) AS top FROM scored)",
+    "open_pairs", "scored",
+)
+def _(spark, d):
+    """Look-ups in a stored, bucketed table, scaled by the maxima stored with it."""
+    _, free = open_pairs(spark, d)
+    kept = stored.store_pairs(i.scored_pairs(spark, d).select("v1", "v2", "score"))
+    return stored.look_up(free, kept, scaled=True).withColumn("score", r9(F.col("score")))

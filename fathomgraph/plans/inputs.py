@@ -112,6 +112,15 @@ def dated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(bare_mentions(spark, sf_dir).join(dates, "paper_id"), "paper_id", "v1", carry=["time"])
 
 
+def dated_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper_id, v1, v2, time) with single parts as concepts: as many vertices as there are parts."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("v1"))
+    return cooccurrence(rows.join(papers(spark, sf_dir).select("paper_id", "time"), "paper_id"), "paper_id", "v1", carry=["time"])
+
+
+cte("bare_parts", "SELECT DISTINCT l_orderkey AS paper_id, l_partkey AS v1 FROM lineitem")
+cte("part_seen", "SELECT a.v1, b.v1 AS v2, min(time) AS first_day FROM bare_parts a JOIN bare_parts b ON a.paper_id = b.paper_id AND a.v1 < b.v1 "
+    "JOIN papers p ON p.paper_id = a.paper_id GROUP BY 1, 2", "bare_parts", "papers")
 cte("concept_of", f"SELECT p_partkey, {_SQL_CONCEPT} AS v1 FROM part")
 cte("vertices", "SELECT DISTINCT v1 FROM concept_of", "concept_of")
 cte("concepts", "SELECT v1 AS concept_id, 'Brand#' || (v1 // 100) || ' size ' || (v1 % 100) AS concept, 'Brand#' || (v1 // 100) AS category FROM vertices", "vertices")

@@ -65,14 +65,18 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables written by ``durable`` that nothing reads any more; other tables are left alone."""
     for df in tables:
         path = getattr(df, "_durable_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            discard_path(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

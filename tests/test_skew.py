@@ -161,3 +161,43 @@ def test_ranked_figures_over_many_partitions(spark, many_partitions):
     assert ranking.descending_check(checked, ["rank"]).first()[0] is True
     assert evaluate.auc(df, "score", df.v1 % 2 == 0).first()["auc"] is not None
     assert evaluate.exact_sample(df, 123, 42, ["v1"]).count() == 123
+
+
+def test_hub_edges_are_dealt_over_buckets(spark):
+    """A star of a million edges: no bucket of the laid out edges has twice the median, and ranks equal the closed form."""
+    n = 1_000_000
+    seen = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("v1"), F.col("id").alias("v2"), F.lit(0).alias("first_day"))
+    adj = graph.adjacency(seen)
+    edges, cells, drop = graph.write_cells(adj, buckets=8)
+    sizes = sorted(r["count"] for r in edges.groupBy(F.input_file_name()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4] and edges.count() == 2 * n
+    assert cells.filter("src = 0").first()["cells"] > 50 and cells.agg(F.max(F.when(F.col("src") > 0, F.col("cells")))).first()[0] == 1
+    drop()
+    vertices = spark.range(0, n + 1).select(F.col("id").alias("v1"))
+    ranks = graph.pagerank(adj, vertices, [1997], tolerance=0, max_iterations=3)
+    hub, leaf, d, m = 1 / (n + 1), 1 / (n + 1), 0.85, n + 1
+    for _ in range(3):
+        hub, leaf = d * n * leaf + (1 - d) / m, d * hub / n + (1 - d) / m
+    got = ranks.groupBy((F.col("v1") == 0).alias("hub")).agg(F.min("pr1997").alias("low"), F.max("pr1997").alias("high")).collect()
+    for r in got:
+        want = hub if r["hub"] else leaf
+        assert abs(r["low"] - want) < 1e-9 * max(1, want) and abs(r["high"] - want) < 1e-9 * max(1, want)
+
+
+def test_rank_steps_do_not_move_edges(spark):
+    adj = graph.adjacency(spark.createDataFrame([(1, 2, 0), (2, 3, 0), (1, 3, 0)], "v1 int, v2 int, first_day int"))
+    edges, cells, drop = graph.write_cells(adj, cell_edges=1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shares = cells.select("src", "cells", F.lit(0.5).alias("s1997"))
+        inflow = graph.rank_inflow(edges, shares, [1997], "v1")
+        plan = inflow._jdf.queryExecution().executedPlan().toString()
+        assert {r["v1"]: r["in1997"] for r in inflow.collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    scan = next(k for k, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line)
+    join = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line for line in lines[join:scan])
+    drop()
