@@ -331,13 +331,18 @@ def test_csv_encoding_fallback(spark, tmp_path):
     assert [r["name"] for r in rows.collect()] == ["\u56fe\u8c31"]
 
 
-def test_oversized_dictionary_is_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "d.txt").write_text("a\n\nb\n")
-    got = [tuple(r) for r in readers.read_dictionary(spark, str(tmp_path / "d.txt")).collect()]
-    assert got == [(0, 0, "a"), (1, 2, "b")]
-    monkeypatch.setattr(readers, "DICTIONARY_BYTES", 2)
-    with pytest.raises(ValueError):
-        readers.read_dictionary(spark, str(tmp_path / "d.txt"))
+def test_dictionary_of_many_splits_keeps_its_line_numbers(spark, tmp_path):
+    words = [f"word{k}" if k % 7 else "" for k in range(5000)]
+    (tmp_path / "d.txt").write_text("\n".join(words) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows = readers.read_dictionary(spark, str(tmp_path / "d.txt"))
+        got = sorted(tuple(r) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    kept = [(k, w) for k, w in enumerate(words) if w]
+    assert got == [(i, k, w) for i, (k, w) in enumerate(kept)]
 
 
 def test_compaction_keeps_rows(spark, tmp_path):
