@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import public_columns, text_slices
+from .common import public_columns, text_slices, tidy
 
 #: Chunks a worker remembers, and the characters of all of them.
 REMEMBERED_CHUNKS = 200_000
@@ -248,7 +248,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             columns += [_blobs(codes.astype("<i8"), edges), _blobs(times.astype("<u4"), edges)]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ALIGNED.split(", ")])
 
-    return docs.mapInArrow(run, _ALIGNED)
+    return docs.mapInArrow(tidy(run), _ALIGNED)
 
 
 def _values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:

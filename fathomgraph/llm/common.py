@@ -6,6 +6,8 @@ input (whatever they are called) never meet the operator's own.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
 from collections.abc import Iterator
@@ -64,6 +66,30 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def tidy(run):
+    """Wrap a function over Arrow batches: memory that a task leaves free goes back to the system when it ends.
+
+    Python workers live on between tasks and stages; without this, each keeps the most it ever needed.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    """Give free pages of the allocators back; where the C library has no such call, only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice have about ``most`` bytes (one text may have more)."""
     import pyarrow.compute as pc

@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, durable
-from .common import lower_ascii, mix, public_columns, text_bytes, text_slices, window_hashes, word_bounds, word_hashes
+from .common import lower_ascii, mix, public_columns, text_bytes, text_slices, tidy, window_hashes, word_bounds, word_hashes
 from .components import components
 
 SHORT = 32
 #: The boundary is looked for up to this size; subsets of larger sets always cost more than their prefix.
 LARGEST_LIGHT = 32
-SLICE = 16_000_000
+SLICE = 8_000_000
 BUCKET_CHARS = 16_000_000
 LEAST_BUCKETS = 256
 #: Slots that tasks met less often, counting slices that met a shingle twice, have level 0.
@@ -114,10 +114,10 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
 
 def _summaries(n: int, slots: int):
     """Class keys of documents, and counts of the slots of shingles that a slice has twice."""
-    names = ["doc_id", "n_shingles", "hi", "lo", "slot", "times"]
+    names = ["doc_id", "text_key", "n_shingles", "hi", "lo", "slot", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times = np.zeros(slots, dtype=np.int64)
+        times = np.zeros(slots, dtype=np.int32)
         for batch in text_slices(batches, "text", SLICE):
             size, hi, lo, seen, sets = [], [], [], set(), []
             for data in text_bytes(batch.column("text")):
@@ -133,12 +133,12 @@ def _summaries(n: int, slots: int):
             first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
             count = np.diff(np.r_[first, len(every)])
             often = count > 1
-            np.add.at(times, (every[first[often]] % np.uint64(slots)).astype(np.int64), count[often])
+            np.add.at(times, (every[first[often]] % np.uint64(slots)).astype(np.int64), count[often].astype(np.int32))
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), none, none], names=names)
         slot = np.flatnonzero(times)
         none = pa.nulls(len(slot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slot), pa.array(times[slot])], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(slot), pa.array(times[slot].astype(np.int64))], names=names)
 
     return run
 
@@ -246,12 +246,12 @@ def _levels(slot_counts: DataFrame, slots: int) -> np.ndarray:
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per document."""
+    """(doc_id, n_shingles, component_id, text_key), one row per document; ``text_key`` is the 64-bit hash of the text, for rows that share an id."""
     rows = public_columns(docs, doc_id=doc_id, text=text)
     n_docs, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     slots = 1 << min(23, max(16, n_docs.bit_length() + 5))
-    summary = durable(rows.mapInArrow(_summaries(n, slots), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, slot bigint, times bigint"), "shingle-summaries")
-    keyed = summary.filter("slot is null").select("doc_id", "n_shingles", "hi", "lo")
+    summary = durable(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_summaries(n, slots)), "doc_id bigint, text_key bigint, n_shingles bigint, hi bigint, lo bigint, slot bigint, times bigint"), "shingle-summaries")
+    keyed = summary.filter("slot is null").select("doc_id", "text_key", "n_shingles", "hi", "lo")
     real = keyed.filter("n_shingles > 0 and doc_id is not null")
     classes = durable(real.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep")), "shingle-classes")
     small = classes.filter(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n"))
@@ -259,7 +259,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str =
     levels = _levels(summary.filter("slot is not null"), slots)
 
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
-    posted = rows.filter("doc_id is not null").mapInArrow(_postings(n, percent, boundary, levels, buckets), "bucket int, tokens binary, nodes binary, often binary")
+    posted = rows.filter("doc_id is not null").mapInArrow(tidy(_postings(n, percent, boundary, levels, buckets)), "bucket int, tokens binary, nodes binary, often binary")
     lists = durable(posted.groupBy("bucket").applyInArrow(_lists, "token bigint, node bigint"), "lists")
     by_node = classes.select(F.col("hi").alias("node"), "rep", F.col("n_shingles").alias("size"))
     least_partner = F.ceil(F.col("size") * percent / 100)
@@ -276,13 +276,13 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str =
 
     wanted = members.select("rep").distinct().join(classes.select("rep", "hi"), "rep").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("hi").alias("keys"))
     texts = rows.filter("text is not null").join(wanted, "doc_id").withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
-    sets = durable(texts.select("doc_id", "text", "keys").mapInArrow(_sets(n), "rep bigint, shingles binary"), "sets")
+    sets = durable(texts.select("doc_id", "text", "keys").mapInArrow(tidy(_sets(n)), "rep bigint, shingles binary"), "sets")
     roots = _linked_components(members, sets, percent)
 
     classes_rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     joined = keyed.join(classes_rooted, ["hi", "lo", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+    return joined.select("doc_id", "n_shingles", own.alias("component_id"), "text_key")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +340,7 @@ def _linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
             across = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("k"), F.col("l"), F.col("s"), F.col("t")))
             pairs = pairs.union(across.select("a", "b"))
         pairs = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean, distance double")
+        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a bigint, b bigint, linked boolean, distance double")
         following = durable(tried.union(checked), "checked-pairs")
         discard(tried)
         tried = following

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, durable
-from .common import public_columns, text_slices
+from .common import public_columns, text_slices, tidy
 from .tokens import encoded, word_encoder
 
 #: Characters of a shard: about 300,000 tokens, 150 sequences. Bounds the memory of a task, whatever the input.
@@ -146,5 +146,5 @@ def pack_documents(
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     shards = max(1, -(-chars // shard_chars))
     dtype = word_encoder(tokenizer_path).dtype.str
-    pieces = _marked(rows).mapInArrow(_cut(tokenizer_path, end_id, capacity, shards), PIECES)
+    pieces = _marked(rows).mapInArrow(tidy(_cut(tokenizer_path, end_id, capacity, shards)), PIECES)
     return pieces.groupBy("shard").applyInArrow(_pack(capacity, linear, quadratic, dtype), PLACED)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import discard, durable
-from .common import lower_ascii, mix, public_columns, text_slices, window_hashes, word_hashes
+from .common import lower_ascii, mix, public_columns, text_slices, tidy, window_hashes, word_hashes
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -210,7 +210,7 @@ def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
         if size:
             yield _combined(held, shard)
 
-    return docs.mapInArrow(mine, "gram long, found long")
+    return docs.mapInArrow(tidy(mine), "gram long, found long")
 
 
 def _candidates(mined: DataFrame) -> DataFrame:
@@ -245,14 +245,14 @@ def _exact(docs: DataFrame, maps: dict) -> DataFrame:
             yield from counted.sent()
         yield from counted.sent(all_of_it=True)
 
-    counted = docs.mapInArrow(count, _COUNTED).drop("gram")
+    counted = docs.mapInArrow(tidy(count), _COUNTED).drop("gram")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= MIN_COUNT)
 
 
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (lang, phrase, words, f) of all phrases of up to ``MAX_WORDS`` words found ``MIN_COUNT`` times, and (lang, n)."""
     docs = public_columns(docs, text="text", lang="lang").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    counted = docs.mapInArrow(_word_counts, _COUNTED)
+    counted = docs.mapInArrow(tidy(_word_counts), _COUNTED)
     words = durable(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("gram").alias("gram")), "words")
     totals = durable(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent = durable(words.filter(F.col("f") >= MIN_COUNT), "words")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, shared_path
-from .common import open_input, open_output, public_columns, text_slices
+from .common import open_input, open_output, public_columns, text_slices, tidy
 from .tokens import encoded, word_encoder
 
 MAGIC = b"TOKPLAN1"
@@ -153,7 +153,7 @@ def write_token_files(
             row = {"file_no": [TaskContext.get().partitionId()], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens]}
             yield pa.RecordBatch.from_pydict(row)
 
-    return durable(ordered.mapInArrow(run, FILES), "plane-files")
+    return durable(ordered.mapInArrow(tidy(run), FILES), "plane-files")
 
 
 def _read(files: DataFrame, schema: str, columns: Callable[[list, list, list, list], list[pa.Array]]) -> DataFrame:

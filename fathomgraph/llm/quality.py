@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, durable, shared_path
-from .common import _file_system, public_columns, text_bytes, text_slices, window_hashes, word_bounds, word_hashes
+from .common import _file_system, public_columns, text_bytes, text_slices, tidy, window_hashes, word_bounds, word_hashes
 
 ORDER = 4
 BITS = 6
@@ -133,7 +133,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(docs: DataFrame) -> DataFrame:
     """(copy_lang, copy_hash, copies): texts whose shingle class has further rows, and the rows of the class."""
-    rows = docs.filter("text is not null").mapInArrow(_classify, "lang string, text_hash binary, shingles bigint")
+    rows = docs.filter("text is not null").mapInArrow(tidy(_classify), "lang string, text_hash binary, shingles bigint")
     texts = durable(rows.groupBy("lang", "shingles", "text_hash").agg(F.count(F.lit(1)).alias("n")), "texts")
     classes = texts.groupBy("lang", "shingles").agg(F.sum("n").alias("copies")).filter("copies > 1")
     classes = classes.select(F.col("lang").alias("class_lang"), F.col("shingles").alias("class"), "copies")
@@ -147,7 +147,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     again = broadcast_if_small(durable(copies(docs), "copies"))
     docs = docs.join(again, docs["lang"].eqNullSafe(again["copy_lang"]) & (docs["text_hash"] == again["copy_hash"]), "left")
     docs = docs.select("lang", F.coalesce("copies", F.lit(1)).alias("copies"), "text")
-    counted = docs.mapInArrow(_count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(tidy(_count), "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     return counted.select("lang", "code", F.greatest(F.lit(1), F.round("n")).cast("bigint").alias("n"))
 
 
@@ -348,13 +348,13 @@ def score_documents(docs: DataFrame, reach: float = REACH, doc_id: str = "doc_id
     rows = public_columns(docs, doc_id=doc_id, lang=lang, text=text).withColumn("text_key", F.xxhash64("text"))
     counts = durable(gram_counts(rows.select("lang", "text")), "gram-counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scores = durable(rows.mapInArrow(_score(store_model(counts)), SCORED).withColumn("base_failed", failed), "quality")
+    scores = durable(rows.mapInArrow(tidy(_score(store_model(counts))), SCORED).withColumn("base_failed", failed), "quality")
     limits = durable(bands(scores, reach), "bands")
     wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(TYPICAL_SYMBOLS)) / F.greatest(F.lit(1), F.col("n_grams"))))
     joined = scores.join(limits, scores["lang"].eqNullSafe(limits["band_lang"]), "left")
     if not joined.filter(F.col("q1").isNull() & ~F.col("base_failed")).isEmpty():
         every = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "code", "n")
-        pooled = durable(rows.mapInArrow(_score(store_model(every), pooled=True), SCORED).withColumn("base_failed", failed), "quality-of-all")
+        pooled = durable(rows.mapInArrow(tidy(_score(store_model(every), pooled=True)), SCORED).withColumn("base_failed", failed), "quality-of-all")
         found = bands(pooled.withColumn("lang", F.lit(None).cast("string")), reach, 1) if limits.isEmpty() else bands(pooled, reach)
         band = durable(found.agg(*[f(c).alias(c) for f, c in ((F.min, "q1"), (F.max, "q3"), (F.max, "reach"))]).select(F.lit(None).cast("string").alias("band_lang"), "*"), "band-of-all")
         rare = pooled.join(limits, pooled["lang"].eqNullSafe(limits["band_lang"]), "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import public_columns, text_slices
+from .common import public_columns, text_slices, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -173,7 +173,7 @@ def find_secrets(docs: DataFrame, model: MarkovPair | None = None, doc_id: str =
                 found.append([{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in scan(t, model)] if t else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return rows.mapInArrow(run, "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint, value: string>>")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint, value: string>>")
 
 
 def redact_secrets(docs: DataFrame, model: MarkovPair | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,4 +186,4 @@ def redact_secrets(docs: DataFrame, model: MarkovPair | None = None, doc_id: str
             texts = [redacted(t, scan(t, model)) if t else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -1,13 +1,14 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with ids of words kept between texts.
+"""Token ids of whole texts by the ``tokenizers`` library, column by column, with ids of words kept between texts.
 
-The tokenizer files used here drop white space and never let a token cross it, so a text's ids are the ids of its words
-in turn. Each distinct word is encoded once by the library; the words that a worker remembers are bounded. A word with a
-full stop or comma after it is the word and the mark, and texts in ASCII are folded to lower case, where the tokenizer does
-the same.
+Where the tokenizer's own file says that white space is dropped and that no token crosses it (``splits_at_white_space``), a
+text's ids are the ids of its words in turn: the words of a slice of texts are split and numbered by Arrow, each distinct
+word is encoded once by the library, and the ids are gathered by their numbers. The words that a worker remembers are
+bounded. For other tokenizers every text is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -15,89 +16,135 @@ import numpy as np
 import pyarrow as pa
 
 #: Words a Python worker remembers; further words are encoded again in each slice.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 250_000
 
 _SENTINEL = "\x01"
 
+# Fixed value: how the word tokenizer's file splits texts. Letters, single digits and runs of other marks are apart.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_white_space(spec: dict) -> bool:
+    """Does a tokenizer's description (its JSON) drop white space, and split as ``_WORD_SPLIT`` does?
+
+    Its normalizers may compose characters, fold white space to spaces, and lower-case; none of them joins what white space
+    separates, or a letter or digit of ASCII and a mark after it.
+    """
+    normalizer = spec.get("normalizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in steps)
+    before = spec.get("pre_tokenizer") or {}
+    first = (before.get("pretokenizers") or [before])[0]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORD_SPLIT} and first.get("behavior") == "Removed" and first.get("invert")
+    return bool(plain and split)
+
 
 class WordEncoder:
     """Ids as little-endian numbers of the narrowest type that holds the vocabulary.
 
-    ``independent`` words: set it to False for a tokenizer whose tokens cross white space; texts are then encoded whole.
-    Strings of special tokens inside a text are read by the library as it does by default (as the token).
+    ``independent`` words: read off the tokenizer's file unless it is given. Strings of special tokens inside a text are read
+    by the library as it does by default (as the token).
     """
 
-    def __init__(self, path: str, independent: bool = True):
+    def __init__(self, path: str, independent: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.independent = independent
-        self.known: dict[bytes, bytes] = {}
+        known_split = splits_at_white_space(json.loads(self.tokenizer.to_str()))
+        self.independent = known_split if independent is None else independent
+        self.known: dict[str, bytes] = {}
         mark = self.tokenizer.encode(_SENTINEL, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        same = lambda a, b: self._ids(a).tobytes() == b
-        probes = ("a", "ab", "word", "7", "x9y", "Zz", "10")
-        self.folds = all(same(x, self._ids(x.lower()).tobytes()) for x in ("A", "WORD", "Zz", "It'S", "X9"))
-        self.marks = {m.encode()[0]: self._ids(m).tobytes() for m in ".," if all(same(x + m, self._ids(x).tobytes() + self._ids(m).tobytes()) for x in probes)}
+        # A full stop or comma after letters and digits of ASCII is a token run of its own.
+        self.marks = {m: self._ids(m).tobytes() for m in ".,"} if known_split else {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _encode_words(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        alone = [w for w in words if self.mark is None or b"\x01" in w]
-        joined = words if not alone else [w for w in words if self.mark is not None and b"\x01" not in w]
+    def _encode_words(self, words: list[str], into: dict[str, bytes]) -> None:
+        alone = [w for w in words if self.mark is None or _SENTINEL in w]
+        joined = words if not alone else [w for w in words if self.mark is not None and _SENTINEL not in w]
         for word in alone:
-            into[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
+            into[word] = self._ids(word).tobytes()
         for k in range(0, len(joined), 2000):
             some = joined[k : k + 2000]
-            ids = self._ids(f" {_SENTINEL} ".join(w.decode("utf-8", "replace") for w in some))
+            ids = self._ids(f" {_SENTINEL} ".join(some))
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(some) - 1:  # a word that merges with the mark: one by one
                 for word in some:
-                    into[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
+                    into[word] = self._ids(word).tobytes()
                 continue
             data, width = ids.tobytes(), self.dtype.itemsize
             starts = [0, *((cuts + 1) * width).tolist()]
             ends = [*(cuts * width).tolist(), len(data)]
             into.update((w, data[a:b]) for w, a, b in zip(some, starts, ends))
 
-    def _words(self, data: bytes) -> list[bytes]:
-        """Words; strings like special tokens keep their case."""
-        return (data.lower() if self.folds and data.isascii() and b"<|" not in data else data).split()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; null and empty texts have none."""
-        if not self.independent:
-            return [self._ids(t or "").tobytes() for t in texts]
-        split = [self._words((t or "").encode("utf-8", "replace")) for t in texts]
-        distinct: set[bytes] = set()
-        for words in split:
-            distinct.update(words)
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         known = self.known
-        missing = [w for w in distinct if w not in known]
+        missing = [w for w in words if w not in known]
         if len(known) + len(missing) > REMEMBERED_WORDS:
-            known = {w: known[w] for w in distinct if w in known}  # for this slice only; what is remembered stays
-        marked = [w for w in missing if w[-1] in self.marks and w[:-1].isalnum()]
+            known = {w: known[w] for w in words if w in known}  # for this slice only; what is remembered stays
+        marked = [w for w in missing if w[-1:] in self.marks and w.isascii() and w[:-1].isalnum()]
         if marked:
             bases = {w[:-1] for w in marked}
-            missing = list(bases.union(missing).difference(marked, (b for b in bases if b in known)))
+            missing = sorted(bases.union(missing).difference(marked, (b for b in bases if b in known)))
         self._encode_words(missing, known)
         known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return list(map(known.__getitem__, words))
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts one after another, each text's followed by ``end_id``, and where each text begins.
+
+        Null and empty texts have none but the end id.
+        """
+        import pyarrow.compute as pc
+
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if self.independent:
+            split = pc.ascii_split_whitespace(texts)
+            coded = split.flatten().dictionary_encode()
+            parts = self._of_words(coded.dictionary.to_pylist())
+            which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = np.asarray(split.offsets).astype(np.int64)
+            edges = edges - edges[0]
+        else:
+            parts = [self._ids(t).tobytes() for t in texts.to_pylist()]
+            which, edges = np.arange(n), np.arange(n + 1)
+        if end_id is not None:  # the end id is one more word of each text
+            which = np.insert(which, edges[1:], len(parts))
+            edges = edges + np.arange(n + 1)
+            parts.append(np.array([end_id], dtype=self.dtype).tobytes())
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(parts), dtype=self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[which]
+        done = np.zeros(len(which) + 1, dtype=np.int64)
+        np.cumsum(own, out=done[1:])
+        ids = flat[np.arange(done[-1]) + np.repeat(starts[which] - done[:-1], own)]
+        return ids, done[edges]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes; null and empty texts have none."""
+        ids, edges = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str, independent: bool = True) -> WordEncoder:
+def word_encoder(path: str, independent: bool | None = None) -> WordEncoder:
     """One encoder per Python worker and file."""
     return WordEncoder(path, independent)
 
 
 def encoded(batch: pa.RecordBatch, column: str, encoder: WordEncoder, end_id: int | None) -> list[np.ndarray]:
     """Ids of every text of a batch, with ``end_id`` appended."""
-    end = b"" if end_id is None else np.array([end_id], dtype=encoder.dtype).tobytes()
-    return [np.frombuffer(x + end, dtype=encoder.dtype) for x in encoder.encode(batch.column(column).to_pylist())]
+    ids, edges = encoder.encode_column(batch.column(column), end_id)
+    return [ids[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
 
 def vocabulary_path() -> str:
