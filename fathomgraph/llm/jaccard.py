@@ -12,13 +12,13 @@ Documents with the same set of shingles are one class, found by a 128-bit finger
 * The boundary is the size of least estimated cost, from the counts of the set sizes; small sets that may link with large
   ones post a prefix too.
 
-A list is never expanded into all its pairs. In rounds, the smallest member of each list that still spans two components,
+No list is expanded into rows of all its pairs. In rounds, the smallest member of each list that still spans two components,
 its hub, is compared with the other members, and leaves the list; members of one component need no comparing. With the hub
 leave those of its component whose distance to it is so small that, by the triangle inequality of the Jaccard distance, no
 member of another component can link with them. From the second round on, sets that share too few shingles with all others
 in the lists leave first, and the hub is the set that shares most. Lists of at most ``SHORT`` members that still span
-components after the first round (four times as many in each further round) are finished by comparing the pairs between
-components. The rounds end when no list spans two components, so no link between components is lost.
+components after the first round (four times as many in each further round) are finished between their components: signatures
+of 1,024 bits, compared inside the join, let through the pairs that can link, and only these become rows and are verified. The rounds end when no list spans two components, so no link between components is lost.
 
 Postings travel as blocks of numbers by hash bucket; frequent shingles are spread over buckets by set as well, so that a
 list of any length meets no single task.
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, durable
@@ -50,6 +50,8 @@ LARGEST_LIGHT = 32
 SLICE = 8_000_000
 BUCKET_CHARS = 16_000_000
 LEAST_BUCKETS = 256
+#: 64-bit words of a set's bit signature, by which pairs of short lists are told apart before they are verified.
+SIGNATURE = 16
 #: Slots that tasks met less often, counting slices that met a shingle twice, have level 0.
 FREQUENT = 4
 
@@ -203,15 +205,35 @@ def _lists(group: pa.Table) -> pa.Table:
     return pa.table({"token": token[keep], "node": node[keep]})
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Bits of the low ends of the shingles: a bit that another set lacks is a shingle at least that it lacks."""
+    out = np.zeros(SIGNATURE, dtype=np.uint64)
+    low = found & np.uint64(64 * SIGNATURE - 1)
+    np.bitwise_or.at(out, (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+    return out.view(np.int64)
+
+
+_BITS = [f"s{k}" for k in range(SIGNATURE)]
+_SETS = "rep bigint, shingles binary, " + ", ".join(f"{c} bigint" for c in _BITS)
+
+
+def _outside(one: str, two: str) -> Column:
+    """How many bits of a signature the other lacks; columns are named ``<one>s0``, ``<two>s0`` and so on."""
+    return F.expr(" + ".join(f"bit_count({one}{c} & ~{two}{c})" for c in _BITS))
+
+
 def _sets(n: int):
-    """Sets of the texts whose fingerprint is among the keys of their id."""
+    """Sets of the texts whose fingerprint is among the keys of their id, with their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             found = [shingles(data, n) for data in text_bytes(batch.column("text"))]
             right = [fingerprint(f)[0] in keys for f, keys in zip(found, batch.column("keys").to_pylist())]
             reps = [r for r, ok in zip(batch.column("doc_id").to_pylist(), right) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([f.tobytes() for f, ok in zip(found, right) if ok], pa.binary())], names=["rep", "shingles"])
+            kept = [f for f, ok in zip(found, right) if ok]
+            bits = np.stack([signature(f) for f in kept], axis=1) if kept else np.zeros((SIGNATURE, 0), dtype=np.int64)
+            columns = [pa.array(reps, pa.int64()), pa.array([f.tobytes() for f in kept], pa.binary()), *map(pa.array, bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingles", *_BITS])
 
     return run
 
@@ -276,7 +298,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, doc_id: str =
 
     wanted = members.select("rep").distinct().join(classes.select("rep", "hi"), "rep").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("hi").alias("keys"))
     texts = rows.filter("text is not null").join(wanted, "doc_id").withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
-    sets = durable(texts.select("doc_id", "text", "keys").mapInArrow(tidy(_sets(n)), "rep bigint, shingles binary"), "sets")
+    sets = durable(texts.select("doc_id", "text", "keys").mapInArrow(tidy(_sets(n)), _SETS), "sets")
     roots = _linked_components(members, sets, percent)
 
     classes_rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
@@ -297,7 +319,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, shared): how many shingles of a set any other set in the lists has; no overlap can be larger."""
     wanted = lists.select("rep").distinct()
-    tokens = durable(sets.join(wanted, "rep", "left_semi").mapInArrow(_tokens, "rep bigint, token bigint"), "list-shingles")
+    tokens = durable(sets.select("rep", "shingles").join(wanted, "rep", "left_semi").mapInArrow(_tokens, "rep bigint, token bigint"), "list-shingles")
     common = tokens.groupBy("token").agg((F.min("rep") != F.max("rep")).alias("common")).filter("common").select("token")
     return durable(tokens.join(common, "token").groupBy("rep").agg(F.count(F.lit(1)).alias("shared")), "shared")
 
@@ -335,9 +357,13 @@ def _linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Dat
         around = open_.filter(~is_short & (F.col("rep") != F.col("hub")) & fits(F.col("size"), F.col("hub_size"), F.col("shared"), F.col("hub_shared")))
         pairs = around.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         if short:
-            x = open_.filter(is_short).select("token", F.col("rep").alias("a"), F.col("size").alias("k"), F.col("shared").alias("s"), F.col("root").alias("p"))
-            y = open_.filter(is_short).select("token", F.col("rep").alias("b"), F.col("size").alias("l"), F.col("shared").alias("t"), F.col("root").alias("q"))
-            across = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("k"), F.col("l"), F.col("s"), F.col("t")))
+            signed = open_.filter(is_short).join(sets.select("rep", *_BITS), "rep")
+            named = lambda v, k, s, p, side: [F.col(c).alias(n) for c, n in (("rep", v), ("size", k), ("shared", s), ("root", p), *((b, f"{side}{b}") for b in _BITS))]
+            x, y = signed.select("token", *named("a", "k", "s", "p", "x")), signed.select("token", *named("b", "l", "t", "q", "y"))
+            # all of it is the condition of the join: what a signature rules out is no row
+            enough = needed(F.col("k"), F.col("l"))
+            alike = (F.col("k") - _outside("x", "y") >= enough) & (F.col("l") - _outside("y", "x") >= enough)
+            across = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & fits(F.col("k"), F.col("l"), F.col("s"), F.col("t")) & alike)
             pairs = pairs.union(across.select("a", "b"))
         pairs = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a bigint, b bigint, linked boolean, distance double")

@@ -3,8 +3,7 @@
 Documents are dealt into ``SHARDS`` shards. A phrase found at least ``MIN_COUNT`` times has in some shard at least its
 proportional share, ``ceil(MIN_COUNT / SHARDS)`` occurrences, however the shards are filled. Each shard is mined completely
 at that lowered support: tasks combine 64-bit keys of n-grams in numpy, Spark sums them per shard and key. The union of the
-locally frequent keys is the candidates; a key goes on only if its counts, with the most that shards below their support
-can hide, reach ``MIN_COUNT``. Words are mined first, then pairs of frequent words, then runs of 3 and 4 words whose pairs
+locally frequent keys is the candidates. Words are mined first, then pairs of frequent words, then runs of 3 and 4 words whose pairs
 are all candidates. In the last pass over the texts the candidates are counted by their words, so that a key shared by
 two phrases adds a candidate but never changes a count.
 
@@ -214,11 +213,10 @@ def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
 
 
 def _candidates(mined: DataFrame) -> DataFrame:
-    """Keys that can have ``MIN_COUNT`` occurrences by what the shards found at their lowered support."""
+    """The union of the keys that are frequent in a shard, at its lowered support."""
     local = -(-MIN_COUNT // SHARDS)
-    hidden = SHARDS * (local - 1)  # the most occurrences that shards below their support can have between them
-    by_shard = mined.repartition("gram").groupBy("gram", (F.col("found") % SHARDS).alias("shard")).agg(F.sum(F.expr(f"found div {SHARDS}")).alias("n")).filter(F.col("n") >= local)
-    return by_shard.groupBy("gram").agg(F.sum(F.col("n") - (local - 1)).alias("above")).filter(F.col("above") + hidden >= MIN_COUNT).select("gram")
+    by_shard = mined.repartition("gram").groupBy("gram", (F.col("found") % SHARDS).alias("shard")).agg(F.sum(F.expr(f"found div {SHARDS}")).alias("n"))
+    return by_shard.filter(F.col("n") >= local).select("gram").distinct()
 
 
 def _bit_map(grams: DataFrame):

@@ -52,6 +52,9 @@ def from_planes(planes: list[bytes], n: int, kind: str, width: int) -> np.ndarra
         raw = np.packbits(bits, axis=1, bitorder="little")
     return raw.reshape(-1).view(f"<u{width}")
 
+#: The number of files follows the input: characters of a file, and what an entry of its index counts as.
+FILE_CHARS, DOC_CHARS = 24_000_000, 32
+
 
 class PlaneWriter:
     def __init__(self, stream, kind: str = "byte", width: int = 2, block: int = BLOCK, level: int = 3):
@@ -137,7 +140,8 @@ def write_token_files(
     """Encode whole texts and write them in ascending id order; returns the table of files."""
     folder = folder or shared_path(docs.sparkSession, "planes")
     rows = public_columns(docs, doc_id=doc_id, text=text).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)) + DOC_CHARS * F.count(F.lit(1))).first()[0]
+    ordered = rows.repartitionByRange(max(1, -(-size // FILE_CHARS)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)

@@ -55,3 +55,11 @@ def test_run_of_awkward_rows_and_of_none(spark, tmp_path):
     empty(spark).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path / "b")).count() == 0
     assert [name for name, _ in pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "source mixing", "packing"]
+
+
+def test_near_copies_of_an_id_with_two_texts(spark):
+    """An exact copy goes although its id has another text too, which stays."""
+    one, two = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    docs = documents(spark, [(2, one, "en", "a"), (5, one, "en", "a"), (5, two, "en", "a"), (7, two, "en", "a"), (None, one, "en", "a"), (8, None, "en", "a")])
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in pipeline.near_copies(spark, docs, "").collect()))
+    assert kept == [(0, one), (2, one), (5, two), (8, "")]
