@@ -19,12 +19,10 @@ from fathomgraph.llm.tokens import vocabulary_path
 from fathomgraph.session import durable
 
 
-def _keep(docs: DataFrame, verdict: DataFrame, by_text: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose id (and hash of the text) is in ``verdict``."""
-    key = verdict.select(F.col("doc_id").alias("key_id"), *([F.col("text_key").alias("key_text")] if by_text else [])).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("key_id"))
-    if by_text:
-        on = on & F.xxhash64("text").eqNullSafe(F.col("key_text"))
+def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and hash of the text are in ``verdict``."""
+    key = verdict.select(F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("key_id")) & F.xxhash64("text").eqNullSafe(F.col("key_text"))
     return docs.join(key, on, "left_semi")
 
 
@@ -35,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component; equal rows once. Rows without an id stay."""
     groups = jaccard.jaccard_groups(docs)
-    stay = _keep(docs, groups.filter("component_id is null or doc_id = component_id"), by_text=False)
+    stay = _keep(docs, groups.filter("component_id is null or doc_id = component_id"))
     return stay.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
 
 
