@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import dates, text
-from ..operators import cooccur, entities, match
+from ..operators import anchors, cooccur, entities, match
 from ..session import durable, shared_path
-from ..sources import readers, sinks
+from ..sources import readers, records, sinks
 from ..streaming.ingest import file_report, ingest_new_files
 from . import inputs as i
 from .inputs import C_COLUMNS, YEARS
@@ -161,6 +161,23 @@ def _(spark, d):
     return readers.read_json_arrays(spark, path, rows.schema)
 
 
+@query("a10_quoted_csv_by_splits", "SELECT doc_id, lang, text FROM documents WHERE text <> ''")
+def _(spark, d):
+    """Fields with line breaks and quotes, read by as many tasks as the files have splits."""
+    path = shared_path(spark, "quoted")
+    rows = i.table(spark, d, "documents").select("doc_id", "lang", "text").filter("text <> ''")
+    rows.write.options(header=True, quoteAll=True, escape='"').csv(path)
+    return records.read_quoted_csv(spark, path, rows.schema)
+
+
+@query("a11_json_lists_by_splits", "SELECT conv_id, turn, role, text FROM conversations")
+def _(spark, d):
+    path = shared_path(spark, "lists")
+    rows = i.table(spark, d, "conversations")
+    sinks.write_json_arrays(rows, path)
+    return records.read_json_lists(spark, path, rows.schema)
+
+
 _ROUND_TRIP = "SELECT '{f}' AS format, doc_id, entity_name, start_pos FROM entities"
 
 
@@ -299,6 +316,12 @@ def _(spark, d):
     return match.mentions(_clean(spark, d), _dictionary(spark, d), "doc_id", "clean").select("doc_id", "concept_id")
 
 
+@query("c3_rare_anchor_ids", "SELECT doc_id, concept_id FROM hits", "hits")
+def _(spark, d):
+    """The same hits, looked up by the rarest gram of each concept."""
+    return anchors.anchored_occurrences(_clean(spark, d), _dictionary(spark, d), "doc_id", "clean").select("doc_id", "concept_id").distinct()
+
+
 _BOUND = "[ ,.;:!?()\\[\\]{{}}\"''\\-\\n\\t\\r]".replace("{{", "{").replace("}}", "}")
 _CHARS = "' ,.;:!?()[]{}\"''-' || chr(10) || chr(9) || chr(13)"
 cte(

@@ -176,14 +176,11 @@ def read_quoted_csv(spark: SparkSession, path: str | Sequence[str], columns: T.S
     header = records.select("file", "block", "no").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
     rows = records.join(header, ["file", "block", "no"], "left_anti")
     text = F.regexp_replace(F.decode("record", encoding), "\r$", "")
-    parsed = F.from_csv(text, columns.simpleString()[len("struct<") : -1].replace(":", " ", 1) if len(columns) == 1 else _ddl(columns), {"escape": '"', **options})
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    parsed = F.from_csv(text, ddl, {"escape": '"', **options})
     return rows.select(parsed.alias("_row")).select("_row.*")
 
 
-def _ddl(columns: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
-
-
 def read_json_lists(spark: SparkSession, path: str | Sequence[str], columns: T.StructType) -> DataFrame:
     """Files that each hold one JSON list of objects, over as many lines as they like.
 
