@@ -6,12 +6,16 @@ of a sentence come from one token array of one input row, which bounds every per
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unescape_brackets
+from ..session import discard, durable
 
 SENT = ["doc", "sent"]
 
@@ -189,6 +193,78 @@ def suppress_overlaps(scored: DataFrame, same_label: bool = True) -> DataFrame:
     return flat.select(*SENT, "_k.s", "_k.e", "_k.label", "_k.score")
 
 
+def _beats(one: str, two: str) -> Column:
+    """Does the span with prefix ``one`` go before the other: higher score, then start, end and label."""
+    key = lambda p: F.struct(-F.col(f"{p}score"), F.col(f"{p}s"), F.col(f"{p}e"), F.col(f"{p}label"))
+    return key(one) < key(two)
+
+
+def _by_window(rows: DataFrame, size: int, prefix: str = "") -> DataFrame:
+    """A row for each window of ``size`` tokens that a span meets; columns other than the sentence get the prefix."""
+    windows = F.sequence(F.floor(F.col("s") / size), F.floor(F.col("e") / size))
+    named = [F.col(c).alias(c if c in SENT else prefix + c) for c in rows.columns]
+    return rows.select(*named, F.explode(windows).alias("_window"))
+
+
+def _left_greedily(same_label: bool):
+    """The rest of a sentence in order, each span against the kept ones beside it only."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lowest_first = [-x for x in group.column("score").to_pylist()]
+        order = list(zip(lowest_first, *(group.column(c).to_pylist() for c in ("s", "e", "label"))))
+        starts: dict = {}
+        ends: dict = {}
+        kept = []
+        for k in sorted(range(len(order)), key=order.__getitem__):
+            _, s, e, label = order[k]
+            own = label if same_label else None
+            a, b = starts.setdefault(own, []), ends.setdefault(own, [])
+            at = bisect_left(a, s)  # kept spans do not overlap, so their starts and ends have one order
+            if at < len(a) and a[at] <= e or at and b[at - 1] >= s:
+                continue
+            a.insert(at, s)
+            b.insert(at, e)
+            kept.append(k)
+        return group.take(pa.array(sorted(kept), pa.int64()))
+
+    return run
+
+
+def suppress_in_rounds(scored: DataFrame, same_label: bool = True, window: int = 16, rounds: int = 6) -> DataFrame:
+    """The rows of ``suppress_overlaps``, by parallel rounds over overlaps instead of one array per sentence.
+
+    In each round the spans that beat all live spans they overlap stay, and what they overlap goes. Overlaps are an equi-join
+    on the windows of tokens that spans meet, so a line of any length is spread over the tasks. Where falling scores form a
+    chain, a round settles two spans of it; what is left after ``rounds`` rounds is settled per sentence by a sweep in order of
+    score that looks at the two neighbours of a span only.
+    """
+    group = [*SENT, "label"] if same_label else SENT
+    columns = [*SENT, "s", "e", "label", "score"]
+    live = durable(scored.select(*columns).dropDuplicates().withColumn("_id", F.monotonically_increasing_id()), "spans")
+    kept: list[DataFrame] = []
+    for _ in range(rounds):
+        mine, theirs = _by_window(live, window, "a_"), _by_window(live, window, "b_")
+        on = [*SENT, "_window"]
+        meets = (F.col("a_s") <= F.col("b_e")) & (F.col("b_s") <= F.col("a_e")) & (F.col("a__id") != F.col("b__id"))
+        if same_label:
+            meets = meets & (F.col("a_label") == F.col("b_label"))
+        other = theirs.select(*[F.col(c).alias(f"o_{c}") for c in on], *[c for c in theirs.columns if c not in on])
+        same_place = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"o_{c}") for c in on])
+        beaten = mine.join(other, same_place & meets & _beats("b_", "a_"), "left_semi").select(F.col("a__id").alias("_id")).distinct()
+        best = durable(live.join(beaten, "_id", "left_anti"), "best-spans")
+        kept.append(best)
+        won = _by_window(best, window, "b_")
+        won = won.select(*[F.col(c).alias(f"o_{c}") for c in on], *[c for c in won.columns if c not in on])
+        gone = mine.join(won, same_place & meets, "left_semi").select(F.col("a__id").alias("_id")).distinct()
+        following = durable(live.join(best.select("_id"), "_id", "left_anti").join(gone, "_id", "left_anti"), "spans")
+        discard(live)
+        live = following
+        if live.isEmpty():
+            break
+    rest = live.select(*columns).groupBy(*group).applyInArrow(_left_greedily(same_label), live.select(*columns).schema)
+    return reduce(DataFrame.unionByName, [b.select(*columns) for b in kept], rest)
+
+
 def _prf(cor: Column, predicted: Column, gold: Column, prefix: str) -> list[Column]:
     p = F.when(predicted > 0, cor / predicted).otherwise(F.lit(0.0))
     r = F.when(gold > 0, cor / gold).otherwise(F.lit(0.0))

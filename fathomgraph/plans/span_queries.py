@@ -127,6 +127,11 @@ def _(spark, d):
     return spans.suppress_overlaps(i.scored_spans(spark, d)).withColumn("score", r9(F.col("score")))
 
 
+@query("m8_suppressed_in_rounds", "SELECT doc, sent, s, e, label, round(score, 9) AS score FROM greedy_any", "greedy_any", recursive=True)
+def _(spark, d):
+    return spans.suppress_in_rounds(i.scored_spans(spark, d), same_label=False).withColumn("score", r9(F.col("score")))
+
+
 @query("m8_suppressed_any_label", "SELECT doc, sent, s, e, label, round(score, 9) AS score FROM greedy_any", "greedy_any", recursive=True)
 def _(spark, d):
     return spans.suppress_overlaps(i.scored_spans(spark, d), same_label=False).withColumn("score", r9(F.col("score")))
