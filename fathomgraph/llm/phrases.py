@@ -2,9 +2,9 @@
 
 Documents are dealt into ``SHARDS`` shards. A phrase found at least ``MIN_COUNT`` times has in some shard at least its
 proportional share, ``ceil(MIN_COUNT / SHARDS)`` occurrences, however the shards are filled. Each shard is mined completely
-at that lowered support: tasks combine 64-bit keys of n-grams in numpy, Spark sums them per shard and key. The union of the
-locally frequent keys is the candidates. Words are mined first, then pairs of frequent words, then runs of 3 and 4 words whose pairs
-are all candidates. In the last pass over the texts the candidates are counted by their words, so that a key shared by
+at that lowered support: tasks combine hashed keys of n-grams in numpy, Spark sums them per shard and key. The union of the
+locally frequent keys is the candidates. Pairs are mined first, then runs of 3 and 4 words whose pairs are all candidates; single
+words are counted at once. In the last pass over the texts the candidates are counted by their words, so that a key shared by
 two phrases adds a candidate but never changes a count.
 
 Tasks know the candidates by a bit map of fixed size (``MAP_BITS``); it lets through every candidate, and at sizes where it
@@ -39,7 +39,9 @@ SHARDS = 10
 #: Size of the map of candidates: 16 MB, whatever the size of the corpus.
 MAP_BITS = 1 << 27
 #: Words whose keys a task holds before it combines and sends them.
-HELD_WORDS = 4_000_000
+HELD_WORDS = 3_000_000
+#: Bits of a key that are sent; keys that fall together add a candidate.
+KEY_BITS = 48
 #: Distinct phrases whose counts a task holds before it sends them.
 HELD_PHRASES = 200_000
 #: Bytes of text that a task reads at once; one longer text is read whole.
@@ -120,24 +122,17 @@ def _held(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def _runs(words: _Words, maps: dict[int, np.ndarray], lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, mask of first words, keys) of runs whose parts are held: words in map 1, pairs in map 2; longer runs in map 3."""
-    ones = _held(words.keys(1)[1], maps[1]) if len(words.hashes) else np.zeros(0, dtype=bool)
-    pairs = None
+    """(n, mask of first words, keys) of runs whose pairs are in map 2, if there is one, and which themselves are in map 3."""
+    pairs = _held(words.keys(2)[1], maps[2]) if 2 in maps and len(words.hashes) > 1 else None
     for n in lengths:
         good, keys = words.keys(n)
         if not len(keys):
             continue
-        good = good & ones[: len(keys)]
-        for k in range(1, n):
-            good &= ones[k : k + len(keys)]
-        if n > 2:
-            if pairs is None:
-                pairs = _held(words.keys(2)[1], maps[2])
+        if pairs is not None:
             for k in range(n - 1):
-                good &= pairs[k : k + len(keys)]
-        own = 2 if n == 2 else 3
-        if own in maps:
-            good &= _held(keys, maps[own])
+                good = good & pairs[k : k + len(keys)]
+        if n > 2 and 3 in maps:
+            good = good & _held(keys, maps[3])
         yield n, good, keys
 
 
@@ -188,7 +183,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _combined(held: list[np.ndarray], shard: int) -> pa.RecordBatch:
     found, counts = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts * SHARDS + shard)], ["gram", "found"])
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array((counts * SHARDS + shard).astype(np.int64))], ["gram", "found"])
 
 
 def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
@@ -201,7 +196,7 @@ def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
         size = 0
         for batch in text_slices(batches, "text", SLICE):
             for _, good, keys in _runs(_Words(batch), own, lengths):
-                held.append(keys[good])
+                held.append(keys[good] & np.uint64((1 << KEY_BITS) - 1))
                 size += len(held[-1])
             if size >= HELD_WORDS:
                 yield _combined(held, shard)
@@ -250,13 +245,12 @@ def _exact(docs: DataFrame, maps: dict) -> DataFrame:
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (lang, phrase, words, f) of all phrases of up to ``MAX_WORDS`` words found ``MIN_COUNT`` times, and (lang, n)."""
     docs = public_columns(docs, text="text", lang="lang").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    counted = docs.mapInArrow(tidy(_word_counts), _COUNTED)
-    words = durable(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("gram").alias("gram")), "words")
+    counted = docs.mapInArrow(tidy(_word_counts), _COUNTED).drop("gram")
+    words = durable(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "words")
     totals = durable(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent = durable(words.filter(F.col("f") >= MIN_COUNT), "words")
     discard(words)
-    maps = {1: _bit_map(frequent.select("gram"))}
-    maps[2] = _bit_map(_candidates(_mined(docs, maps, (2,))))
+    maps = {2: _bit_map(_candidates(_mined(docs, {}, (2,))))}
     maps[3] = _bit_map(_candidates(_mined(docs, maps, tuple(range(3, MAX_WORDS + 1)))))
     exact = _exact(docs, maps).unionByName(frequent.select("lang", "phrase", F.lit(1).alias("words"), "f"))
     exact = durable(exact, "phrases")
