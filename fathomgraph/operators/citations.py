@@ -37,6 +37,26 @@ def pivot_map(df: DataFrame, counts: str, years: Sequence[int]) -> DataFrame:
     ).drop(counts)
 
 
+def pivot_records(df: DataFrame, record: str, years: Sequence[int]) -> DataFrame:
+    """Records of mixed shape, a VARIANT list each: (v1, v2, time, ct, counts), to one column per year.
+
+    The counts are a list of (year, cited_by_count) objects or an object of year -> count; of a repeated year the last entry
+    counts. Records of fewer than four fields are skipped, those of four, or with counts of any other shape, have zero
+    years. ``fields`` is the number of fields.
+    """
+    sized = df.withColumn("fields", F.size(F.try_variant_get(record, "$", "array<variant>")))
+    kept = sized.filter(F.col("fields") >= 4)
+    entries = F.try_variant_get(record, "$[4]", "array<variant>")
+
+    def count(y: int) -> Column:
+        listed = F.filter(entries, lambda e: F.try_variant_get(e, "$.year", "bigint") == y)
+        last = F.try_variant_get(F.try_element_at(listed, F.lit(-1)), "$.cited_by_count", "bigint")
+        return F.coalesce(last, F.try_variant_get(record, f"$[4]['{y}']", "bigint"), F.lit(0)).cast("bigint")
+
+    ends = {"v1": ("$[0]", "int"), "v2": ("$[1]", "int"), "time": ("$[2]", "int"), "ct": ("$[3]", "bigint")}
+    return kept.withColumns({**{c: F.try_variant_get(record, at, kind) for c, (at, kind) in ends.items()}, **{f"c{y}": count(y) for y in years}}).drop(record)
+
+
 def zero_years(pairs: DataFrame, years: Sequence[int]) -> DataFrame:
     """Bare pairs get a zero time, total and yearly counts."""
     return pairs.withColumns({"time": F.lit(0), "ct": F.lit(0).cast("bigint"), **{f"c{y}": F.lit(0).cast("bigint") for y in years}})

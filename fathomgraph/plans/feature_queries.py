@@ -237,12 +237,31 @@ pair_ctes("evalset", "SELECT v1, v2 FROM evalset", "evalset")
 
 @query("j4_evaluation_features", f"SELECT m.*, e.citation FROM ({matrix_sql('evalset', 'evalset_max')}) m JOIN evalset e USING (v1, v2)", "evalset", "evalset_raw", "evalset_max", "vmax")
 def _(spark, d):
+    matrix, sample = _evaluation_features(spark, d)
+    return matrix.join(sample, ["v1", "v2"])
+
+
+def _evaluation_features(spark, d):
+    """(features of the evaluation pairs, the pairs with their citations)."""
     edges, solved, rest = solution_sets(spark, d)
     sample = durable(labels.all_solutions(solved, rest).select("v1", "v2", "citation"), "evalset")
     v = i.vertices(spark, d)
     table = citations.node_table(i.mentions(spark, d), v, FEATURE_YEARS)
     matrix, _ = features.pair_feature_matrix(sample, graph.adjacency(graph.first_seen(edges)), v, table, YEAR)
-    return _round_all(matrix, FEATURES).join(sample, ["v1", "v2"])
+    return _round_all(matrix, FEATURES), sample
+
+
+@query(
+    "j4_feature_digest",
+    "SELECT CASE WHEN citation > 0 THEN 1 ELSE 0 END AS class, count(*) AS pairs, " + ", ".join(f"CAST(sum(CAST({f} AS DECIMAL(38, 9))) AS DOUBLE) AS {f}" for f in FEATURES)
+    + f" FROM ({matrix_sql('evalset', 'evalset_max')}) m JOIN evalset e USING (v1, v2) GROUP BY 1",
+    "evalset", "evalset_raw", "evalset_max", "vmax",
+)
+def _(spark, d):
+    """The exact sum of each of the 141 features over all pairs of both classes."""
+    matrix, sample = _evaluation_features(spark, d)
+    both = matrix.join(sample, ["v1", "v2"]).withColumn("class", labels.binary_class(F.col("citation"), 1))
+    return both.groupBy("class").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(F.col(f).cast("decimal(24,9)")).cast("double").alias(f) for f in FEATURES])
 
 
 @query(

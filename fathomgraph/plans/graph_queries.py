@@ -79,6 +79,20 @@ def _(spark, d):
     return citations.pivot_map(pairs, "counts_by_year", YEARS).select("paper_id", "v1", "v2", "time", "ct", *C_COLUMNS)
 
 
+@query(
+    "e2_mixed_records",
+    f"SELECT paper_id, time, ct, {', '.join(f'CASE WHEN paper_id % 4 < 2 THEN {c} ELSE 0 END AS {c}' for c in C_COLUMNS)} FROM papers WHERE paper_id % 4 <> 3", "papers",
+)
+def _(spark, d):
+    """By paper: counts as a list, as an object, none, and records that are too short."""
+    counted, kind = i.papers_with_counts(spark, d), F.col("paper_id") % 4
+    listed, mapped = F.to_json("counts_by_year"), F.to_json(F.map_from_entries(F.slice("counts_by_year", 2, len(YEARS))))
+    head = F.concat_ws(",", F.col("paper_id"), F.lit(0), F.col("time"), F.col("ct"))
+    text = F.when(kind == 0, F.concat_ws(",", head, listed)).when(kind == 1, F.concat_ws(",", head, mapped)).when(kind == 2, head).otherwise(F.lit("1,2,3"))
+    records = counted.select("paper_id", F.parse_json(F.concat(F.lit("["), text, F.lit("]"))).alias("record"))
+    return citations.pivot_records(records, "record", YEARS).select("paper_id", "time", "ct", *C_COLUMNS)
+
+
 @query(
     "e2_length_report",
     "SELECT CAST(CASE WHEN k = 0 THEN 0 ELSE k + 1 END AS INTEGER) AS entries, count(*) AS rows FROM (SELECT "
