@@ -1,9 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, column by column, with ids of words kept between texts.
 
 Where the tokenizer's own file says that white space is dropped and that no token crosses it (``splits_at_white_space``), a
-text's ids are the ids of its words in turn: the words of a slice of texts are split and numbered by Arrow, each distinct
-word is encoded once by the library, and the ids are gathered by their numbers. The words that a worker remembers are
-bounded. For other tokenizers every text is encoded whole.
+text's ids are the ids of its words in turn: the words of a slice of texts are found and hashed in numpy, each distinct word
+is encoded once by the library, and the ids are gathered by their numbers. A worker remembers a bounded number of words by
+64-bit hashes in sorted arrays. For other tokenizers every text is encoded whole.
 """
 
 from __future__ import annotations
@@ -15,14 +15,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Words a Python worker remembers; further words are encoded again in each slice.
-REMEMBERED_WORDS = 250_000
+from .common import lower_ascii, word_bounds, word_hashes
+
+#: Words a Python worker remembers, about 35 bytes each; further words are encoded again in each slice.
+REMEMBERED_WORDS = 1_500_000
+RECENT_WORDS = 200_000
 
 _SENTINEL = "\x01"
 
 # Fixed value: how the word tokenizer's file splits texts. Letters, single digits and runs of other marks are apart.
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Texts in which folding letters of ASCII could change more than case: combining marks, and what may be a special token.
+_DELICATE = r"<\||[\x{0300}-\x{036F}]"
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*b".,"]] = True
+
 
 def splits_at_white_space(spec: dict) -> bool:
     """Does a tokenizer's description (its JSON) drop white space, and split as ``_WORD_SPLIT`` does?
@@ -52,48 +62,101 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        known_split = splits_at_white_space(json.loads(self.tokenizer.to_str()))
-        self.independent = known_split if independent is None else independent
-        self.known: dict[str, bytes] = {}
+        self.known_split = splits_at_white_space(json.loads(self.tokenizer.to_str()))
+        self.independent = self.known_split if independent is None else independent
+        self.known = [self._empty(), self._empty()]  # hash, begin and number of ids of words: most of them, and recent ones
+        self.flat = np.zeros(0, dtype=self.dtype)
         mark = self.tokenizer.encode(_SENTINEL, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        # A full stop or comma after letters and digits of ASCII is a token run of its own.
-        self.marks = {m: self._ids(m).tobytes() for m in ".,"} if known_split else {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _encode_words(self, words: list[str], into: dict[str, bytes]) -> None:
-        alone = [w for w in words if self.mark is None or _SENTINEL in w]
-        joined = words if not alone else [w for w in words if self.mark is not None and _SENTINEL not in w]
-        for word in alone:
-            into[word] = self._ids(word).tobytes()
-        for k in range(0, len(joined), 2000):
-            some = joined[k : k + 2000]
-            ids = self._ids(f" {_SENTINEL} ".join(some))
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:  # a word that merges with the mark: one by one
-                for word in some:
-                    into[word] = self._ids(word).tobytes()
-                continue
-            data, width = ids.tobytes(), self.dtype.itemsize
-            starts = [0, *((cuts + 1) * width).tolist()]
-            ends = [*(cuts * width).tolist(), len(data)]
-            into.update((w, data[a:b]) for w, a, b in zip(some, starts, ends))
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        known = self.known
-        missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > REMEMBERED_WORDS:
-            known = {w: known[w] for w in words if w in known}  # for this slice only; what is remembered stays
-        marked = [w for w in missing if w[-1:] in self.marks and w.isascii() and w[:-1].isalnum()]
-        if marked:
-            bases = {w[:-1] for w in marked}
-            missing = sorted(bases.union(missing).difference(marked, (b for b in bases if b in known)))
-        self._encode_words(missing, known)
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        return list(map(known.__getitem__, words))
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has; many words go to the library as one text."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=self.dtype)]
+        sizes = np.zeros(len(words), dtype=np.int64)
+        k = 0
+        while k < len(words):
+            some = words[k : k + 2000]
+            ids = self._ids(f" {_SENTINEL} ".join(some)) if self.mark is not None else None
+            cuts = np.flatnonzero(ids == self.mark) if ids is not None else []
+            if len(cuts) == len(some) - 1 and not any(_SENTINEL in w for w in some):
+                sizes[k : k + len(some)] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                out.append(np.delete(ids, cuts))
+            else:  # a word that merges with the mark, or holds it: one by one
+                alone = [self._ids(w) for w in some]
+                sizes[k : k + len(some)] = [len(x) for x in alone]
+                out += alone
+            k += len(some)
+        return np.concatenate(out), sizes
+
+    def _words_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of a column, starts and ends of its words, and the first word of each text.
+
+        Letters of ASCII are folded to lower case, as the tokenizer folds them, except in texts where that could change a
+        composed letter or a special token. A full stop or comma after letters and digits of ASCII is a word of its own.
+        """
+        import pyarrow.compute as pc
+
+        joined = pc.binary_join_element_wise(texts, *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+        offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not self.known_split:
+            starts, ends = word_bounds(data)
+            return data, starts, ends, np.searchsorted(starts, offsets)
+        folded = lower_ascii(data)
+        delicate = pc.match_substring_regex(texts, _DELICATE).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(delicate):
+            folded[offsets[k] : offsets[k + 1]] = data[offsets[k] : offsets[k + 1]]
+        starts, ends = word_bounds(folded)
+        if len(starts):
+            other = np.zeros(len(folded) + 1, dtype=np.int64)
+            np.cumsum(~_ALNUM[folded], out=other[1:])
+            marked = np.flatnonzero(_MARK[folded[ends - 1]] & (ends - starts > 1) & (other[ends - 1] == other[starts]))
+            starts = np.insert(starts, marked + 1, ends[marked] - 1)
+            shorter = ends.copy()
+            shorter[marked] -= 1
+            ends = np.insert(shorter, marked + 1, ends[marked])
+        return folded, starts, ends, np.searchsorted(starts, offsets)
+
+    def _parts(self, hashes: np.ndarray, first: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct word hashes: all ids known or new, and where each word's begin and how many they are."""
+        begin, size = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        for table in self.known:
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+                hit = table[0][at] == hashes
+                begin[hit], size[hit] = table[1][at[hit]], table[2][at[hit]]
+        missing = np.flatnonzero(begin < 0)
+        if not len(missing):
+            return self.flat, begin, size
+        held = data.tobytes()
+        words = [held[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())]
+        ids, sizes = self._encode_words(words)
+        begin[missing] = len(self.flat) + np.cumsum(sizes) - sizes
+        size[missing] = sizes
+        flat = np.concatenate([self.flat, ids])
+        if sum(len(t[0]) for t in self.known) + len(missing) <= REMEMBERED_WORDS:
+            self.flat = flat
+            self._remember(1, (hashes[missing], begin[missing], size[missing]))
+        return flat, begin, size
+
+    def _remember(self, level: int, more: tuple) -> None:
+        """Add to the recent words, and these to the others once there are many; both are sorted by hash."""
+        table = tuple(np.concatenate([a, b]) for a, b in zip(self.known[level], more))
+        order = np.argsort(table[0], kind="stable")
+        table = tuple(c[order] for c in table)
+        if level == 1 and len(table[0]) > RECENT_WORDS:
+            self.known[1] = self._empty()
+            self._remember(0, table)
+        else:
+            self.known[level] = table
+
+    @staticmethod
+    def _empty() -> tuple:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts one after another, each text's followed by ``end_id``, and where each text begins.
@@ -107,28 +170,27 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
         if self.independent:
-            split = pc.ascii_split_whitespace(texts)
-            coded = split.flatten().dictionary_encode()
-            parts = self._of_words(coded.dictionary.to_pylist())
-            which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            edges = np.asarray(split.offsets).astype(np.int64)
-            edges = edges - edges[0]
+            data, starts, ends, edges = self._words_of(texts)
+            hashes, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            flat, begin, size = self._parts(hashes, first, data, starts, ends)
         else:
-            parts = [self._ids(t).tobytes() for t in texts.to_pylist()]
-            which, edges = np.arange(n), np.arange(n + 1)
+            flat, size = self._encode_alone(texts.to_pylist())
+            begin, which, edges = np.cumsum(size) - size, np.arange(n), np.arange(n + 1)
         if end_id is not None:  # the end id is one more word of each text
-            which = np.insert(which, edges[1:], len(parts))
+            which = np.insert(which, edges[1:], len(size))
             edges = edges + np.arange(n + 1)
-            parts.append(np.array([end_id], dtype=self.dtype).tobytes())
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(parts), dtype=self.dtype)
-        starts = np.cumsum(sizes) - sizes
-        own = sizes[which]
+            begin, size = np.append(begin, len(flat)), np.append(size, 1)
+            flat = np.append(flat, np.array([end_id], dtype=self.dtype))
+        own = size[which]
         done = np.zeros(len(which) + 1, dtype=np.int64)
         np.cumsum(own, out=done[1:])
-        ids = flat[np.arange(done[-1]) + np.repeat(starts[which] - done[:-1], own)]
+        ids = flat[np.arange(done[-1]) + np.repeat(begin[which] - done[:-1], own)]
         return ids, done[edges]
 
+    def _encode_alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self._ids(t) for t in texts]
+        return np.concatenate([np.zeros(0, dtype=self.dtype), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null and empty texts have none."""
         ids, edges = self.encode_column(pa.array(texts, pa.large_string()))
