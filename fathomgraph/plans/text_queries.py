@@ -488,7 +488,7 @@ def _ingest(spark, d):
 
     clean.filter(F.col("lang").isin("en", "de")).write.partitionBy("lang").json(f"{root}/in")
     run()
-    clean.filter(~F.col("lang").isin("en", "de")).write.mode("append").partitionBy("lang").json(f"{root}/in")
+    clean.filter(~F.coalesce(F.col("lang"), F.lit("")).isin("en", "de")).write.mode("append").partitionBy("lang").json(f"{root}/in")
     run()
     run()
     return clean.withColumn("file", F.concat(F.lit("lang="), "lang")), spark.read.parquet(f"{root}/out").drop("batch")

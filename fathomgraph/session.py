@@ -39,7 +39,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return _qualified(spark, configured.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
@@ -48,6 +48,14 @@ def shared_root(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """With scheme and authority, so that Spark and other readers take it for the same place."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_root(spark)}/fathomgraph/{name}-{uuid.uuid4().hex}"
