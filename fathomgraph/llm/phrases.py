@@ -3,8 +3,9 @@
 Documents are dealt into ``SHARDS`` shards. A phrase found at least ``MIN_COUNT`` times has in some shard at least its
 proportional share, ``ceil(MIN_COUNT / SHARDS)`` occurrences, however the shards are filled. Each shard is mined completely
 at that lowered support: tasks combine hashed keys of n-grams in numpy, Spark sums them per shard and key. The union of the
-locally frequent keys is the candidates. Pairs are mined first, then runs of 3 and 4 words whose pairs are all candidates; single
-words are counted at once. In the last pass over the texts the candidates are counted by their words, so that a key shared by
+locally frequent keys is the candidates; a key goes on only if its counts, with the most that shards below their support
+can hide, reach ``MIN_COUNT``. Words are mined first, then pairs of frequent words, then runs of 3 and 4 words whose pairs
+are all candidates. In the last pass over the texts the candidates are counted by their words, so that a key shared by
 two phrases adds a candidate but never changes a count.
 
 Tasks know the candidates by a bit map of fixed size (``MAP_BITS``); it lets through every candidate, and at sizes where it
@@ -38,12 +39,10 @@ SCALE = 2_000_000
 SHARDS = 10
 #: Size of the map of candidates: 16 MB, whatever the size of the corpus.
 MAP_BITS = 1 << 27
-#: Words whose keys a task holds before it combines and sends them.
-HELD_WORDS = 3_000_000
 #: Bits of a key that are sent; keys that fall together add a candidate.
 KEY_BITS = 48
-#: Distinct phrases whose counts a task holds before it sends them.
-HELD_PHRASES = 200_000
+#: Words whose keys a task holds before it combines and sends them.
+HELD_WORDS = 2_000_000
 #: Bytes of text that a task reads at once; one longer text is read whole.
 SLICE = 2_000_000
 
@@ -122,72 +121,45 @@ def _held(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def _runs(words: _Words, maps: dict[int, np.ndarray], lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, mask of first words, keys) of runs whose pairs are in map 2, if there is one, and which themselves are in map 3."""
-    pairs = _held(words.keys(2)[1], maps[2]) if 2 in maps and len(words.hashes) > 1 else None
+    """(n, mask of first words, keys) of runs whose parts are held: words in map 1, pairs in map 2; longer runs in map 3."""
+    ones = _held(words.keys(1)[1], maps[1]) if len(words.hashes) else np.zeros(0, dtype=bool)
+    pairs = None
     for n in lengths:
         good, keys = words.keys(n)
         if not len(keys):
             continue
-        if pairs is not None:
+        good = good & ones[: len(keys)]
+        for k in range(1, n):
+            good &= ones[k : k + len(keys)]
+        if n > 2:
+            if pairs is None:
+                pairs = _held(words.keys(2)[1], maps[2])
             for k in range(n - 1):
-                good = good & pairs[k : k + len(keys)]
-        if n > 2 and 3 in maps:
-            good = good & _held(keys, maps[3])
+                good &= pairs[k : k + len(keys)]
+        own = 2 if n == 2 else 3
+        if own in maps:
+            good &= _held(keys, maps[own])
         yield n, good, keys
 
 
-class _Counted:
-    """Counts of phrases of a task, combined over its slices by key."""
-
-    def __init__(self):
-        self.parts: list[tuple] = []  # (keys, counts, table of language, phrase and words)
-        self.rows = 0
-
-    def add(self, words: _Words, n: int, keys: np.ndarray, at: np.ndarray | None = None) -> None:
-        """Runs of ``n`` words with these keys, which begin at the words ``at`` (all of them if not given)."""
-        found, first, counts = np.unique(keys if at is None else keys[at], return_index=True, return_counts=True)
-        if not len(found):
-            return
-        first = first if at is None else at[first]
-        lang = pa.DictionaryArray.from_arrays(pa.array(words.lang[first]), pa.array(words.langs, pa.string())).dictionary_decode()
-        rows = pa.table({"lang": lang, "phrase": words.phrases(first, n).cast(pa.string()), "words": np.full(len(found), n, dtype=np.int32)})
-        self.parts.append((found, counts.astype(np.int64), rows))
-        self.rows += len(found)
-
-    def sent(self, all_of_it: bool = False) -> Iterator[pa.RecordBatch]:
-        """What goes out now: everything, once that many distinct phrases are held."""
-        if not self.parts or self.rows < 2 * HELD_PHRASES and not all_of_it:
-            return
-        keys = np.concatenate([p[0] for p in self.parts])
-        found, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-        rows = pa.concat_tables([p[2] for p in self.parts]).take(pa.array(first))
-        self.parts, self.rows = [(found, total, rows)], len(found)
-        if all_of_it or len(found) >= HELD_PHRASES:
-            self.parts, self.rows = [], 0
-            yield from rows.append_column("gram", pa.array(found.view(np.int64))).append_column("n", pa.array(total)).combine_chunks().to_batches()
-
-
-_COUNTED = "lang string, phrase string, words int, gram long, n long"
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counted = _Counted()
     for batch in text_slices(batches, "text", SLICE):
         words = _Words(batch)
-        if len(words.hashes):
-            counted.add(words, 1, words.keys(1)[1])
-            yield from counted.sent()
-    yield from counted.sent(all_of_it=True)
+        if not len(words.hashes):
+            continue
+        _, keys = words.keys(1)
+        found, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        lang = pa.DictionaryArray.from_arrays(pa.array(words.lang[first]), pa.array(words.langs, pa.string())).dictionary_decode()
+        yield pa.RecordBatch.from_arrays([lang, words.phrases(first, 1).cast(pa.string()), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "gram", "n"])
 
 
 def _combined(held: list[np.ndarray], shard: int) -> pa.RecordBatch:
     found, counts = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array((counts * SHARDS + shard).astype(np.int64))], ["gram", "found"])
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), shard, dtype=np.int32)), pa.array(counts.astype(np.int32))], ["gram", "shard", "n"])
 
 
 def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
-    """(gram, found = n * SHARDS + shard): every run of the given lengths whose parts are candidates, combined over some millions of words."""
+    """(gram, shard, n): every run of the given lengths whose parts are candidates, combined over some millions of words."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % SHARDS
@@ -204,14 +176,15 @@ def _mined(docs: DataFrame, maps: dict, lengths: tuple[int, ...]) -> DataFrame:
         if size:
             yield _combined(held, shard)
 
-    return docs.mapInArrow(tidy(mine), "gram long, found long")
+    return docs.mapInArrow(tidy(mine), "gram long, shard int, n int")
 
 
 def _candidates(mined: DataFrame) -> DataFrame:
-    """The union of the keys that are frequent in a shard, at its lowered support."""
+    """Keys that can have ``MIN_COUNT`` occurrences by what the shards found at their lowered support."""
     local = -(-MIN_COUNT // SHARDS)
-    by_shard = mined.repartition("gram").groupBy("gram", (F.col("found") % SHARDS).alias("shard")).agg(F.sum(F.expr(f"found div {SHARDS}")).alias("n"))
-    return by_shard.filter(F.col("n") >= local).select("gram").distinct()
+    hidden = SHARDS * (local - 1)  # the most occurrences that shards below their support can have between them
+    by_shard = mined.repartition("gram").groupBy("gram", "shard").agg(F.sum("n").alias("n")).filter(F.col("n") >= local)
+    return by_shard.groupBy("gram").agg(F.sum(F.col("n") - (local - 1)).alias("above")).filter(F.col("above") + hidden >= MIN_COUNT).select("gram")
 
 
 def _bit_map(grams: DataFrame):
@@ -226,31 +199,36 @@ def _bit_map(grams: DataFrame):
 
 
 def _exact(docs: DataFrame, maps: dict) -> DataFrame:
-    """(lang, phrase, words, f) of the candidates of 2 and more words, counted by their words over all texts."""
+    """(lang, phrase, n) of the candidates of 2 and more words, counted by their words over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: m.value for k, m in maps.items()}
-        counted = _Counted()
         for batch in text_slices(batches, "text", SLICE):
             words = _Words(batch)
             for n, good, keys in _runs(words, own, tuple(range(2, MAX_WORDS + 1))):
-                counted.add(words, n, keys, np.flatnonzero(good))
-            yield from counted.sent()
-        yield from counted.sent(all_of_it=True)
-
-    counted = docs.mapInArrow(tidy(count), _COUNTED).drop("gram")
+                at = np.flatnonzero(good)
+                if not len(at):
+                    continue
+                _, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
+                first = at[first]
+                lang = pa.DictionaryArray.from_arrays(pa.array(words.lang[first]), pa.array(words.langs, pa.string())).dictionary_decode()
+                size = np.full(len(first), n, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([lang, words.phrases(first, n).cast(pa.string()), pa.array(size), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
+
+    counted = docs.mapInArrow(tidy(count), "lang string, phrase string, words int, n long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= MIN_COUNT)
 
 
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (lang, phrase, words, f) of all phrases of up to ``MAX_WORDS`` words found ``MIN_COUNT`` times, and (lang, n)."""
     docs = public_columns(docs, text="text", lang="lang").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    counted = docs.mapInArrow(tidy(_word_counts), _COUNTED).drop("gram")
-    words = durable(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "words")
+    counted = docs.mapInArrow(tidy(_word_counts), "lang string, phrase string, gram long, n long")
+    words = durable(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("gram").alias("gram")), "words")
     totals = durable(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent = durable(words.filter(F.col("f") >= MIN_COUNT), "words")
     discard(words)
-    maps = {2: _bit_map(_candidates(_mined(docs, {}, (2,))))}
+    maps = {1: _bit_map(frequent.select("gram"))}
+    maps[2] = _bit_map(_candidates(_mined(docs, maps, (2,))))
     maps[3] = _bit_map(_candidates(_mined(docs, maps, tuple(range(3, MAX_WORDS + 1)))))
     exact = _exact(docs, maps).unionByName(frequent.select("lang", "phrase", F.lit(1).alias("words"), "f"))
     exact = durable(exact, "phrases")
