@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import PAIR_CITATION_NAMES, PAIR_NAMES, pair_citations, pair_indices
-from ..operators import citations, evaluate, features, graph, labels, ranking
+from ..operators import bottom_k, citations, evaluate, features, graph, labels, optimality, ranking
 from ..operators.best_pairs import best_open_pairs
 from ..operators.features import CITATION_BASE, CITATION_NAMES, NODE_NAMES, VERTEX_NAMES, YEARLY_NAMES
 from ..session import durable, shared_path
 from . import inputs as i
 from .graph_queries import new_pairs, open_pairs, solution_sets, solutions
 from .inputs import FEATURE_YEARS, LATER, YEAR, r9, sql_cutoff
-from .registry import cte, query
+from .registry import ORACLES, cte, query
+
+#: Slopes of the loss below this count as none.
+FLAT = 1e-4
 
 # -- vertex features -----------------------------------------------------------------------------------------------
 
@@ -222,6 +225,16 @@ def _(spark, d):
     return evaluate.split_per_class(durable(_labelled(spark, d), "labelled"), "class", 7, ["v1", "v2"])
 
 
+@query("j1_bottom_k_subsets", ORACLES["j1_two_class_subsets"])
+def _(spark, d):
+    return bottom_k.two_class_subsets(durable(_labelled(spark, d), "labelled"), "class", 7, ["v1", "v2"], limit=1000)
+
+
+@query("j2_split_by_cells", ORACLES["j2_split_per_class"])
+def _(spark, d):
+    return bottom_k.split_per_class(durable(_labelled(spark, d), "labelled"), "class", 7, ["v1", "v2"])
+
+
 @query(
     "j3_shuffled_solutions",
     "SELECT v1, v2, citation, num, round(citation_m, 9) AS citation_m, row_number() OVER (ORDER BY md5('42|' || v1 || '|' || v2), v1, v2) AS place FROM solutions", "solutions",
@@ -351,15 +364,20 @@ cte(
 )
 
 
-def _impact(spark, d):
-    """Labelled pairs with their part and the score of a model that was fitted on the train part."""
+def _impact_rows(spark, d):
+    """Labelled pairs with their part and their features."""
     edges, solved, rest = solution_sets(spark, d)
     pairs = durable(labels.all_solutions(solved, rest).select("v1", "v2", labels.binary_class(F.col("citation"), 1).alias("label")), "labelled")
     parts = durable(evaluate.split_per_class(pairs, "label", 7, ["v1", "v2"]), "impact-parts")
     v = i.vertices(spark, d)
     table = citations.node_table(i.mentions(spark, d), v, FEATURE_YEARS)
     matrix, _ = features.pair_feature_matrix(parts, graph.adjacency(graph.first_seen(edges)), v, table, YEAR)
-    rows = durable(matrix.join(parts, ["v1", "v2"]), "impact-rows")
+    return durable(matrix.join(parts, ["v1", "v2"]), "impact-rows")
+
+
+def _impact(spark, d):
+    """Labelled pairs with their part and the score of a model that was fitted on the train part."""
+    rows = _impact_rows(spark, d)
     _, score = evaluate.fit_impact(rows.filter("part = 'train'"), FEATURES, maxIter=20, regParam=0.01)
     return score(rows).select("v1", "v2", "label", "part", "score")
 
@@ -377,6 +395,15 @@ def _(spark, d):
     return counts.join(area, "part")
 
 
+@query("j9_impact_optimality")
+def _(spark, d):
+    """The slope of the regularised loss of the train part in all 141 features and the intercept, at the fitted coefficients."""
+    rows = _impact_rows(spark, d).filter("part = 'train'")
+    model, _ = evaluate.fit_impact(rows, FEATURES, maxIter=300, tol=1e-9, regParam=0.01)
+    slopes = optimality.impact_gradient(rows, FEATURES, "label", model.coefficients, model.intercept, 0.01)
+    return slopes.withColumn("flat", F.abs("gradient") <= FLAT)
+
+
 # -- ranking and score analysis ------------------------------------------------------------------------------------
 
 

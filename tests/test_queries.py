@@ -19,7 +19,7 @@ QUICK = [
     "i10_feature_matrix", "j2_split_per_class", "j3_shuffled_solutions", "j6_auc", "j8_best_threshold", "k2_top_pairs", "k5_score_summary", "k6_rank_and_quantile",
     "k10_category_matrix", "l1_first_per_name", "l5_drop_plurals", "l7_frequency_table", "m3_candidate_spans", "m5_expanded_relations",
     "a10_quoted_csv_by_splits", "a11_json_lists_by_splits", "c3_rare_anchor_ids", "e2_mixed_records", "h8_stored_lookup", "k2_top_part_pairs",
-    "m7_pruned_spans", "m8_suppressed_in_rounds", "m8_suppressed_same_label", "m9_decoded_relations", "m11_relation_scores", "n1_incremental_mentions",
+    "j1_bottom_k_subsets", "j2_split_by_cells", "j9_impact_optimality", "m7_pruned_spans", "m8_suppressed_in_rounds", "m8_suppressed_same_label", "m9_decoded_relations", "m11_relation_scores", "n1_incremental_mentions",
 ]
 NAMES = sorted(catalog.QUERIES) if os.environ.get("FATHOMGRAPH_ALL") else QUICK
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
