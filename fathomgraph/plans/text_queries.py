@@ -234,7 +234,10 @@ def _(spark, d):
 
 @query("b2_abstract_from_index", "SELECT doc_id, text AS abstract FROM documents")
 def _(spark, d):
-    words = i.documents(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    docs = i.table(spark, d, "documents").select("doc_id", "text")
+    # Texts are shuffled once, by document; both groupings of their words keep that partitioning.
+    docs = docs.repartition(i.document_tasks(spark, d), "doc_id")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     # The index is built by grouping per (document, word) first, so that a frequent word is spread over documents.
     places = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
     index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
