@@ -127,7 +127,12 @@ def best_threshold(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def fit_impact(features: DataFrame, columns: Sequence[str], label: str = "label", **options):
-    """Logistic impact model on the feature columns; returns a function that adds ``score`` (0..1)."""
+    """Logistic impact model on the feature columns; returns it and a function that adds ``score`` (0..1).
+
+    Without rows there is nothing to fit: the model is None and the scores are null.
+    """
+    if features.isEmpty():
+        return None, lambda rows: rows.withColumn("score", F.lit(None).cast("double"))
     assemble = VectorAssembler(inputCols=list(columns), outputCol="_x")
     model = LogisticRegression(featuresCol="_x", labelCol=label, **options).fit(assemble.transform(features))
 

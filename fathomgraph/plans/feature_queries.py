@@ -400,7 +400,8 @@ def _(spark, d):
     """The slope of the regularised loss of the train part in all 141 features and the intercept, at the fitted coefficients."""
     rows = _impact_rows(spark, d).filter("part = 'train'")
     model, _ = evaluate.fit_impact(rows, FEATURES, maxIter=300, tol=1e-9, regParam=0.01)
-    slopes = optimality.impact_gradient(rows, FEATURES, "label", model.coefficients, model.intercept, 0.01)
+    coefficients, intercept = (model.coefficients, model.intercept) if model else ([None] * len(FEATURES), None)
+    slopes = optimality.impact_gradient(rows, FEATURES, "label", coefficients, intercept, 0.01)
     return slopes.withColumn("flat", F.abs("gradient") <= FLAT)
 
 
