@@ -118,3 +118,10 @@ def test_empty_null_and_repeated_rows(spark, model):
     long = "<article>" + "".join(f"<p>Sentence number {k} of a very long page, which goes on." for k in range(20_000)) + "</article>"
     one = B.extract_pages(spark.createDataFrame([(9, "l", long, "", 0, 0)], PAGES), model).first()
     assert one["n_chars"] > 0.99 * 20_000 * 50
+
+
+def test_features_take_every_word_of_a_block():
+    words = [f"word{k}" for k in range(60)]
+    at = slice(B.PATH_DIMS + B.OWN_DIMS, B.PATH_DIMS + B.OWN_DIMS + B.WORD_DIMS)
+    whole, other = (B.features(B.blocks(f"<p>{' '.join(w)}</p>"), B._Paths())[0][at] for w in (words, words[:30] + ["changed"] + words[31:]))
+    assert (whole != other).any()
