@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import pickle
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -39,6 +41,8 @@ PATH_DIMS, OWN_DIMS, WORD_DIMS, MEASURES = 96, 64, 64, 12
 DIMS = PATH_DIMS + OWN_DIMS + WORD_DIMS + MEASURES
 #: Blocks times padding of a batch of pages that a task labels at once.
 BATCH_CELLS = 20_000
+#: Words that a task remembers the places of; beyond it begins anew, between pages.
+KNOWN_WORDS = 100_000
 
 # Fixed values of the HTML language: elements that do not break a run of text, that have no end tag, that are not shown,
 # and that close an open element of the same kind.
@@ -194,48 +198,86 @@ def _places(name: str, dims: int, base: int) -> tuple[tuple[int, float], ...]:
 
 
 class _Paths:
-    """Hashed vectors of paths, of one slice of pages."""
+    """Hashed vectors of paths, of one slice of pages; paths of the same names have one vector."""
 
     def __init__(self):
-        self.known: dict[int, tuple[Path, np.ndarray]] = {}  # by identity; the path is held, so its identity stays
+        self.known: dict[int, tuple[Path, int]] = {}  # by identity; the path is held, so its identity stays
+        self.alike: dict[tuple[int, tuple], int] = {}
+        self.vectors = [np.zeros(PATH_DIMS + OWN_DIMS, dtype=np.float32)]  # that of no path
 
     def vector(self, path: Path) -> np.ndarray:
         todo = []
         while path is not None and id(path) not in self.known:
             todo.append(path)
             path = path[1]
-        above = self.known[id(path)][1] if path is not None else np.zeros(PATH_DIMS + OWN_DIMS, dtype=np.float32)
+        above = self.known[id(path)][1] if path is not None else 0
         for p in reversed(todo):
-            vector = above.copy()
-            vector[PATH_DIMS:] = 0
-            for name in p[0]:
-                for place, sign in _places(name, PATH_DIMS, 0):
-                    vector[place] += sign
-                for place, sign in _places(name, OWN_DIMS, PATH_DIMS):
-                    vector[place] += sign
-            np.clip(vector, -3, 3, out=vector)
-            self.known[id(p)] = (p, vector)
-            above = vector
-        return above
-
-
-def features(page: list[Block], paths: _Paths) -> np.ndarray:
+            number = self.alike.get((above, p[0]))
+            if number is None:
+                vector = self.vectors[above].copy()
+                vector[PATH_DIMS:] = 0
+                for name in p[0]:
+                    for place, sign in _places(name, PATH_DIMS, 0):
+                        vector[place] += sign
+                    for place, sign in _places(name, OWN_DIMS, PATH_DIMS):
+                        vector[place] += sign
+                np.clip(vector, -3, 3, out=vector)
+                number = self.alike[above, p[0]] = len(self.vectors)
+                self.vectors.append(vector)
+            self.known[id(p)] = (p, number)
+            above = number
+        return self.vectors[above]
+
+
+_BEGUN = tuple(crc32(f"{k}:".encode()) for k in range(3))
+
+
+class _Words(dict):
+    """Words by number, with the three hashes of ``_places`` of each; a page's words are added up in numpy."""
+
+    def __init__(self):
+        self.hashes = array("I")
+
+    def __missing__(self, word: str) -> int:
+        name = word.strip(".,;:!?()[]\"'").encode("utf-8", "replace")
+        self.hashes.extend([crc32(name, begun) for begun in _BEGUN])
+        self[word] = number = len(self)
+        return number
+
+    def vectors(self, texts: list[list[str]]) -> np.ndarray:
+        """The signed places of all words of each text, added up."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.hashes = array("I")
+        counts = np.array([len(words) for words in texts], dtype=np.int64)
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        hashes = np.frombuffer(self.hashes, dtype=np.uint32).reshape(-1, 3)[numbers].astype(np.int64)
+        cells = np.repeat(np.arange(len(texts)) * WORD_DIMS, counts)[:, None] + (hashes >> 1) % WORD_DIMS
+        signs = np.where(hashes & 1, 1.0, -1.0)
+        return np.bincount(cells.ravel(), signs.ravel(), len(texts) * WORD_DIMS).reshape(-1, WORD_DIMS)
+
+
+def features(page: list[Block], paths: _Paths, known: _Words | None = None) -> np.ndarray:
     """A row of ``DIMS`` numbers for each block."""
     out = np.zeros((len(page), DIMS), dtype=np.float32)
+    if not page:
+        return out
     words_at, measures_at = PATH_DIMS + OWN_DIMS, PATH_DIMS + OWN_DIMS + WORD_DIMS
-    for k, block in enumerate(page):
-        row = out[k]
-        row[:words_at] = paths.vector(block.path)
-        words = block.text.lower().split()
-        weight = 1.0 / np.sqrt(len(words))
-        for word in words:
-            for place, sign in _places(word.strip(".,;:!?()[]\"'"), WORD_DIMS, words_at):
-                row[place] += sign * weight
+    texts = [block.text.lower().split() for block in page]
+    weights = 1.0 / np.sqrt([len(words) for words in texts])
+    out[:, words_at:measures_at] = (_Words() if known is None else known).vectors(texts) * weights[:, None]
+    measures = []
+    for k, (block, words) in enumerate(zip(page, texts)):
+        out[k, :words_at] = paths.vector(block.path)
         text, n = block.text, len(block.text)
-        row[measures_at:] = (
-            np.log1p(len(words)) / 4, np.log1p(n) / 6, block.link / n, text.endswith(_SENTENCE_END), len(words) == 1, "©" in text,
-            sum(text.count(c) for c in ",.;:") / len(words) / 2, text[0].isupper(), text[0].isdigit(), k == 0, k / len(page), np.log1p(len(page)) / 5,
-        )
+        measures.append((
+            len(words), n, block.link / n, text.endswith(_SENTENCE_END), len(words) == 1, "©" in text,
+            sum(map(text.count, ",.;:")) / len(words) / 2, text[0].isupper(), text[0].isdigit(), k == 0, k / len(page), len(page),
+        ))
+    table = np.array(measures, dtype=np.float64)
+    for column, scale in ((0, 4), (1, 6), (MEASURES - 1, 5)):
+        table[:, column] = np.log1p(table[:, column]) / scale
+    out[:, measures_at:] = table
     return out
 
 
@@ -326,15 +368,15 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def label_pages(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
+def label_pages(model: Labeller, pages: list[list[Block]], known: _Words | None = None) -> list[np.ndarray]:
     """For each page, which blocks belong to the article; pages of like length are read together."""
-    paths = _Paths()
+    paths, known = _Paths(), _Words() if known is None else known
     kept: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
     while order:
         most = max(1, BATCH_CELLS // len(pages[order[-1]]))
         some, order = order[-most:], order[:-most]
-        scores = model.scores(*padded([features(pages[k], paths) for k in some]))
+        scores = model.scores(*padded([features(pages[k], paths, known) for k in some]))
         for column, k in enumerate(some):
             kept[k] = scores[: len(pages[k]), column] > 0
     return kept
@@ -343,12 +385,12 @@ def label_pages(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
 def train(pages: int = TRAIN_PAGES, steps: int = TRAIN_STEPS, seed: int = 7) -> Labeller:
     """Fit by Adam on generated pages."""
     rng = np.random.default_rng(seed)
-    paths = _Paths()
+    paths, known = _Paths(), _Words()
     sample = []
     for _ in range(pages):
         page = labelled(sample_page(rng))
         if page:
-            sample.append((features(page, paths), np.array([b.label for b in page], dtype=np.float32)))
+            sample.append((features(page, paths, known), np.array([b.label for b in page], dtype=np.float32)))
     model = Labeller(seed)
     first = {k: np.zeros_like(w) for k, w in model.weights.items()}
     second = {k: np.zeros_like(w) for k, w in model.weights.items()}
@@ -386,9 +428,10 @@ def extract_pages(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     model = model or fitted(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in text_slices(batches, "html", 2_000_000):
             read = [blocks(p) if p else [] for p in batch.column("html").to_pylist()]
-            texts = [" ".join(b.text for b, keep in zip(page, kept) if keep) for page, kept in zip(read, label_pages(model, read))]
+            texts = [" ".join(b.text for b, keep in zip(page, kept) if keep) for page, kept in zip(read, label_pages(model, read, known))]
             columns = [batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

@@ -1,6 +1,7 @@
 import re
 import time
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -125,3 +126,41 @@ def test_features_take_every_word_of_a_block():
     at = slice(B.PATH_DIMS + B.OWN_DIMS, B.PATH_DIMS + B.OWN_DIMS + B.WORD_DIMS)
     whole, other = (B.features(B.blocks(f"<p>{' '.join(w)}</p>"), B._Paths())[0][at] for w in (words, words[:30] + ["changed"] + words[31:]))
     assert (whole != other).any()
+
+
+def test_each_word_of_a_page_is_hashed_once(monkeypatch):
+    page = B.blocks(f"<p>{' '.join(f'w{k}' for k in range(30_000))}</p>" * 2)
+    calls = []
+    monkeypatch.setattr(B, "crc32", lambda *a: calls.append(0) or crc32(*a))
+    rows = B.features(page, B._Paths())
+    at = slice(B.PATH_DIMS + B.OWN_DIMS, B.PATH_DIMS + B.OWN_DIMS + B.WORD_DIMS)
+    assert len(calls) < 3 * 30_100 and (rows[0, at] == rows[1, at]).all()
+
+
+def test_features_equal_plain_loops():
+    rng = np.random.default_rng(11)
+    words_at = B.PATH_DIMS + B.OWN_DIMS
+    known, paths = B._Words(), B._Paths()
+    assert B.features([], paths).shape == (0, B.DIMS)
+    for page in [p for p in (B.blocks(B.sample_page(rng)[0]) for _ in range(30)) if p]:
+        for k, (row, block) in enumerate(zip(B.features(page, paths, known), page)):
+            words = block.text.lower().split()
+            want = np.zeros(B.DIMS)
+            names, path = [], block.path
+            while path is not None:
+                names, path = [path[0], *names], path[1]
+            for own in names:
+                want[B.PATH_DIMS : words_at] = 0
+                for name in own:
+                    for place, sign in (*B._places(name, B.PATH_DIMS, 0), *B._places(name, B.OWN_DIMS, B.PATH_DIMS)):
+                        want[place] += sign
+                want[:words_at] = np.clip(want[:words_at], -3, 3)
+            for word in words:
+                for place, sign in B._places(word.strip(".,;:!?()[]\"'"), B.WORD_DIMS, words_at):
+                    want[place] += sign / np.sqrt(len(words))
+            n = len(block.text)
+            want[-B.MEASURES :] = (
+                np.log1p(len(words)) / 4, np.log1p(n) / 6, block.link / n, block.text.endswith(B._SENTENCE_END), len(words) == 1, "©" in block.text,
+                sum(block.text.count(c) for c in ",.;:") / len(words) / 2, block.text[0].isupper(), block.text[0].isdigit(), k == 0, k / len(page), np.log1p(len(page)) / 5,
+            )
+            assert np.allclose(row, want, atol=1e-5)
