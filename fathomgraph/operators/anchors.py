@@ -2,8 +2,8 @@
 
 A table of fixed size counts how often grams occur in a share of the texts; it only orders, so any counts give the same hits.
 Each concept of at least ``q`` characters is anchored by its rarest gram and the gram's offset, shorter ones by themselves. The
-anchors fill a bit map of fixed size; a position of a text whose gram is not in it is dropped before the join, so the join
-meets the few positions that can begin an anchor.
+anchors fill a bit map of fixed size; a position of a text whose gram is not in it never becomes a row (``grams.py``), so the
+join meets the few positions that can begin an anchor. ``anchor_map`` and ``passing`` are the same for probes that are rows.
 
 Pieces of a text carry ``CONTEXT`` characters on both sides, whatever the longest concept is. A concept is compared with the
 context first; one that is longer than its context is then verified on its place in the document, so a single long concept
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_boundary
 from ..session import BROADCAST_ROWS, durable
+from .grams import gram_map, held_places
 from .match import PIECE, SALTS, SHORTEST_ANCHOR
 
 LONGEST_ANCHOR = 8
@@ -95,7 +96,8 @@ def anchored_occurrences(
     q = max(SHORTEST_ANCHOR, min(facts[0] or 1, LONGEST_ANCHOR))
     keys = durable(anchored(dictionary, gram_frequencies(texts, doc, text, q, share), q, concept, concept_id), "anchors")
     lengths = sorted(r[0] for r in keys.select(F.length("_gram")).distinct().collect()) or [q]  # at most q rows
-    probes = passing(probe_rows(texts, doc, text, lengths, piece), durable(anchor_map(keys), "anchor-map"))
+    body = F.concat(F.lit(OUTSIDE * CONTEXT), F.col(text), F.lit(OUTSIDE * (CONTEXT + max(lengths))))
+    probes = held_places(texts, doc, body, lengths, gram_map(keys), piece, piece + CONTEXT + max(lengths) + CONTEXT, CONTEXT)
     size = F.length(concept)
     # What of the concept lies within the context of its anchor.
     left = F.least(F.col("_offset"), F.lit(CONTEXT - 1))

@@ -1,8 +1,9 @@
 """Dictionary matching as an equi-join, document frequency, and dictionary refinement.
 
-A text is cut into short pieces that overlap by the length of the longest concept. Every position of a piece yields one
+A text is cut into short pieces that overlap by the length of the longest concept. Every position of a piece has one
 prefix (or one per anchor length, if many concepts begin alike); concepts are looked up by the longest anchor they fill,
-then compared with the piece. The text itself is never shuffled by the join: a counted, small dictionary is broadcast,
+then compared with the piece. Positions whose prefix begins no concept are dropped by a bit map before they are rows
+(``grams.py``). The text itself is never shuffled by the join: a counted, small dictionary is broadcast,
 a large one is joined by salted prefix.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_boundary
 from ..session import BROADCAST_ROWS
+from .grams import gram_map, held_places
 
 SHORTEST_ANCHOR = 4
 #: Concepts per prefix on average, above which a longer anchor is added.
@@ -74,20 +76,7 @@ def occurrences(
     overlap = (facts["longest"] or 1) + 2 * pad - 1
     body = F.concat(F.lit(" "), F.col(text), F.lit(" ")) if whole_words else F.col(text)
 
-    pattern = f"(?s)(?=(.{{1,{piece + overlap}}})).{{1,{piece}}}"
-    pieces = texts.select(F.col(doc), F.posexplode(F.regexp_extract_all(body, F.lit(pattern), F.lit(1))).alias("_no", "_piece"))
-    # One number per (position, anchor length); the last piece of a text may be shorter than the others.
-    many = len(lengths)
-    last = F.least(F.length("_piece"), F.lit(piece)) * many - 1
-    probes = pieces.select(doc, "_no", "_piece", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
-    at = F.floor(F.col("_k") / many).cast("int") if many > 1 else F.col("_k")
-    q = F.lit(lengths[0])
-    if many > 1:
-        q = F.element_at(F.array(*map(F.lit, lengths)), F.col("_k") % many + 1)
-    probes = probes.select(doc, "_no", "_piece", at.alias("_at"), F.substring("_piece", at + 1 + pad, q).alias("_gram"), q.alias("_q"))
-    if many > 1:
-        # A cut-off prefix at the end of a text must not pass for a shorter anchor.
-        probes = probes.filter(F.length("_gram") == F.col("_q"))
+    probes = held_places(texts, doc, body, lengths, gram_map(anchored), piece, piece + overlap, pad)
 
     found = F.substring("_piece", F.col("_at") + 1 + pad, F.length(concept)) == F.col(concept)
     if whole_words:
