@@ -5,8 +5,8 @@ vertex. Each class posts a prefix of its neighbours, the rarest first: two class
 neighbour among the first ``d - ceil(t d) + 1`` of both. Sizes, and how many neighbours come before the common one, bound the
 index of a candidate before its neighbours are counted exactly. A round that finds fewer than k pairs lowers t by ``STEP``;
 once k pairs are known, t becomes the score of the k-th best and the last round closes the bound: every pair it does not
-meet scores less. Where even the prefixes are so dense that joining them costs more rows than meeting packed neighbours, the
-packed open pairs are taken at once, and one round is enough.
+meet scores less. Where the prefixes are so dense that joining them costs more than ``LISTED`` rows per edge, no pairs are listed:
+all pairs of classes are counted in cells (``pair_cells.py``) that give their best k pairs, and nothing is left to close.
 
 Neighbours are ordered by levels of a logarithm of their degree, so that no vertex's neighbours are sorted in one task; a
 prefix is rounded up to whole levels. Postings of a frequent neighbour are dealt into blocks, and pairs of blocks are joined.
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import discard, durable
-from .graph import known_in, neighbour_words, open_sharing_pairs, shared_of_words
+from .graph import known_in, neighbour_words, shared_of_words
+from .pair_cells import best_open_in_cells
 
 START, STEP = 0.8, 0.5
+#: Rows of a join of prefixes per row of the adjacency, above which pairs are counted in cells.
+LISTED = 8
 #: Levels per doubling of the degree.
 FINENESS = 4
 BLOCK = 256
@@ -53,7 +56,9 @@ def posted_neighbours(adj: DataFrame, year: int, classes: DataFrame) -> DataFram
     per_level = rows.groupBy("rep", "level").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("rep").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
     per_level = per_level.select("rep", "level", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
-    return durable(rows.join(per_level, ["rep", "level"]), "postings")
+    postings = durable(rows.join(per_level, ["rep", "level"]), "postings")
+    discard(rows)
+    return postings
 
 
 def least_shared(one: Column, two: Column, t: float) -> Column:
@@ -105,24 +110,31 @@ def best_open_pairs(adj: DataFrame, year: int, k: int, start: float = START, rep
     smallest = Window.partitionBy("rep").orderBy("v")
     members = durable(member_of.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= k + 1).select("v", "rep"), "members")
     reps = classes.select(F.col("rep").alias("src"))
-    words = durable(neighbour_words(adj.filter(known_in(year)), [year]).join(reps, "src", "left_semi"), "words")
+    near = adj.filter(known_in(year)).join(reps, "src", "left_semi")
+    words = None  # written for the first round that lists pairs
     size = durable(classes.select(F.col("rep").alias("v1"), F.col("size").alias(f"d{year}")), "sizes")
     edges = adj.filter(known_in(year)).select(F.least("src", "dst").alias("v1"), F.greatest("src", "dst").alias("v2"))
     alike = classes.filter("members > 1").select(F.col("rep").alias("v1"), F.col("rep").alias("v2"), F.lit(1.0).alias("score"))
-    known = durable(alike.join(edges, ["v1", "v2"], "left_anti"), "scored")  # a class with self-loops is all edges
+    alike_open = alike.join(edges, ["v1", "v2"], "left_anti")  # a class with self-loops is all edges
+    known = durable(alike_open, "scored")
     weights = classes.select("rep", "members")
     largest = classes.agg(F.max("size")).first()[0]
-    per_vertex = adj.filter(known_in(year)).groupBy("src", F.shiftright("dst", 6).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    per_vertex = per_vertex.groupBy("src").agg((F.sum("n") * F.count(F.lit(1))).cast("double").alias("rows"))
-    packed_rows = per_vertex.agg(F.sum("rows")).first()[0] or 0.0
+    most = LISTED * postings.count()
     t, closing = start, False
     while largest is not None:
         per_item = postings.filter(in_prefix(t)).groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        if (per_item.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) > packed_rows:
-            found = open_sharing_pairs(adj.join(classes.select(F.col("rep").alias("dst")), "dst", "left_semi"), year)
-            closing = True
-        else:
-            found = candidates(postings, t).join(edges, ["v1", "v2"], "left_anti")
+        if (per_item.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) > most:
+            # The best k pairs of classes hold the best k of vertices: each has a pair of vertices before those of later ones.
+            best = best_open_in_cells(postings.select("rep", "size", "item"), k).orderBy(F.desc("score"), "v1", "v2").limit(k)
+            following = durable(alike_open.unionByName(best), "scored")
+            if report is not None:
+                report.append((t, 0))
+            discard(known)
+            known = following
+            break
+        if words is None:
+            words = durable(neighbour_words(near, [year]), "words")
+        found = candidates(postings, t).join(edges, ["v1", "v2"], "left_anti")
         fresh = found.join(known.select("v1", "v2"), ["v1", "v2"], "left_anti")
         fresh = durable(fresh, "candidates")
         if report is not None:
@@ -140,7 +152,7 @@ def best_open_pairs(adj: DataFrame, year: int, k: int, start: float = START, rep
         if kth is not None and kth >= t:
             break
         t, closing = (kth, True) if kth is not None else (max(t * STEP, 1 / (2 * largest)), False)
-    discard(postings, words, size)
+    discard(postings, size, *([words] if words is not None else []))
     floor = _kth_score(known, weights, k)  # bounds what is expanded into pairs of vertices
     best = known.filter(F.col("score") >= floor) if floor is not None else known
     one = members.select(F.col("rep").alias("v1"), F.col("v").alias("_v1"))
