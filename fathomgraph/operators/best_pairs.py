@@ -5,8 +5,9 @@ vertex. Each class posts a prefix of its neighbours, the rarest first: two class
 neighbour among the first ``d - ceil(t d) + 1`` of both. Sizes, and how many neighbours come before the common one, bound the
 index of a candidate before its neighbours are counted exactly. A round that finds fewer than k pairs lowers t by ``STEP``;
 once k pairs are known, t becomes the score of the k-th best and the last round closes the bound: every pair it does not
-meet scores less. Where the prefixes are so dense that joining them costs more than ``LISTED`` rows per edge, no pairs are listed:
-all pairs of classes are counted in cells (``pair_cells.py``) that give their best k pairs, and nothing is left to close.
+meet scores less. Where neighbours are so few that all meetings of two vertices in one are ``MET`` per edge at most, or the prefixes
+so dense that joining them costs more than ``LISTED`` rows per edge, no pairs are listed: all pairs of classes are counted against
+blocks (``pair_cells.py``) that give their best k pairs, and nothing is left to close.
 
 Neighbours are ordered by levels of a logarithm of their degree, so that no vertex's neighbours are sorted in one task; a
 prefix is rounded up to whole levels. Postings of a frequent neighbour are dealt into blocks, and pairs of blocks are joined.
@@ -18,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import discard, durable
+from ..functions.dates import cutoff_day
+from ..session import broadcast_if_small, discard, durable
 from .graph import known_in, neighbour_words, shared_of_words
-from .pair_cells import best_open_in_cells
+from .pair_cells import best_open_in_cells, packed_sets
 
 START, STEP = 0.8, 0.5
 #: Rows of a join of prefixes per row of the adjacency, above which pairs are counted in cells.
 LISTED = 8
+#: Meetings of two vertices in a neighbour per row of the adjacency, up to which all are counted and no prefix is posted.
+MET = 256
 #: Levels per doubling of the degree.
 FINENESS = 4
 BLOCK = 256
@@ -35,16 +39,22 @@ def neighbour_classes(adj: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
 
     Equal means equal number and equal 128 bits of combined hashes. Adjacent vertices are in one class only by self-loops.
     """
-    near = adj.filter(known_in(year))
-    sets = near.groupBy(F.col("src").alias("v")).agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("dst")).alias("_h1"), F.bit_xor(F.xxhash64("dst", F.lit(7))).alias("_h2")
-    )
-    sets = durable(sets, "neighbour-sets")
+    return _classes_of(packed_sets(adj.filter(known_in(year))))
+
+
+def _classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["size", "_h1", "_h2"]
+    sets = sets.select("v", *key)
     classes = durable(sets.groupBy(*key).agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     return classes.select("rep", "size", "members"), sets.join(classes.select("rep", *key), key).select("v", "rep")
 
 
+def _of_reps(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of one vertex of each class."""
+    others = durable(sets.select("v").join(classes.select(F.col("rep").alias("v")), "v", "left_anti"), "others")
+    return sets if others.isEmpty() else durable(sets.join(broadcast_if_small(others), "v", "left_anti"), "rep-sets", by=["_block"], codec="zstd")
+
+
 def posted_neighbours(adj: DataFrame, year: int, classes: DataFrame) -> DataFrame:
     """(rep, size, item, level, before): neighbours of each class; ``before`` are those of lower levels."""
     near = adj.filter(known_in(year)).select("src", "dst")
@@ -102,35 +112,66 @@ def best_open_pairs(adj: DataFrame, year: int, k: int, start: float = START, rep
 
     Fewer than k rows come back only if there are fewer such pairs. ``report`` gets (t, counted candidates) of each round.
     """
-    adj = durable(adj, "adjacency")
-    classes, member_of = neighbour_classes(adj, year)
-    postings = posted_neighbours(adj, year, classes)
+    # Of the edges of the year only their ends are written.
+    near = durable(adj.filter(known_in(year)).select("src", "dst"), "adjacency", codec="zstd")
+    sets = packed_sets(near)
+    classes, member_of = _classes_of(sets)
     # Two vertices of a class score 1 with each other; each class is listed by its k + 1 smallest members, as no pair of
     # a larger one can be among the best k of the class or of two classes.
     smallest = Window.partitionBy("rep").orderBy("v")
     members = durable(member_of.withColumn("_place", F.row_number().over(smallest)).filter(F.col("_place") <= k + 1).select("v", "rep"), "members")
-    reps = classes.select(F.col("rep").alias("src"))
-    near = adj.filter(known_in(year)).join(reps, "src", "left_semi")
+    alike = classes.filter("members > 1").select(F.col("rep").alias("v1"), F.col("rep").alias("v2"), F.lit(1.0).alias("score"))
+    loops = sets.filter("loop").select(F.col("v").alias("v1"))
+    alike_open = alike.join(loops, "v1", "left_anti").select("v1", "v2", "score")  # a class with self-loops is all edges
+    # A vertex is an item of as many sets as it has neighbours.
+    met, rows, largest = sets.agg(F.sum(F.col("size").cast("double") * F.col("size") / 2), F.sum("size"), F.max("size")).first()
+    if largest is None or met <= MET * rows:
+        known = _counted_pairs(sets, classes, alike_open, k)
+        if report is not None:
+            report.append((start, 0))
+    else:
+        known = _listed_pairs(near.withColumn("first_day", F.lit(cutoff_day(year))), year, k, start, report, sets, classes, alike_open, int(largest))
+    discard(sets)
+    floor = _kth_score(known, classes.select("rep", "members"), k)  # bounds what is expanded into pairs of vertices
+    best = known.filter(F.col("score") >= floor) if floor is not None else known
+    one = members.select(F.col("rep").alias("v1"), F.col("v").alias("_v1"))
+    two = members.select(F.col("rep").alias("v2"), F.col("v").alias("_v2"))
+    # An edge between two classes joins all their members, so all of these pairs are open as those of the classes are.
+    listed = best.join(one, "v1").join(two, "v2").filter((F.col("v1") != F.col("v2")) | (F.col("_v1") < F.col("_v2")))
+    listed = listed.select(F.least("_v1", "_v2").alias("v1"), F.greatest("_v1", "_v2").alias("v2"), "score")
+    discard(near)
+    return listed.orderBy(F.desc("score"), "v1", "v2").limit(k)
+
+
+def _counted_pairs(sets: DataFrame, classes: DataFrame, alike_open: DataFrame, k: int) -> DataFrame:
+    """(v1, v2, score) of classes; the best k pairs of classes hold the best k of vertices: each has a pair of vertices before
+    those of later ones."""
+    of_reps = _of_reps(sets, classes)
+    best = durable(alike_open.unionByName(best_open_in_cells(of_reps, k)), "scored")
+    discard(of_reps)
+    return best
+
+
+def _listed_pairs(
+    adj: DataFrame, year: int, k: int, start: float, report: list | None, sets: DataFrame, classes: DataFrame, alike_open: DataFrame, largest: int
+) -> DataFrame:
+    """(v1, v2, score) of classes, by rounds of falling thresholds."""
+    postings = posted_neighbours(adj, year, classes)
+    near = adj.filter(known_in(year)).join(classes.select(F.col("rep").alias("src")), "src", "left_semi")
     words = None  # written for the first round that lists pairs
     size = durable(classes.select(F.col("rep").alias("v1"), F.col("size").alias(f"d{year}")), "sizes")
     edges = adj.filter(known_in(year)).select(F.least("src", "dst").alias("v1"), F.greatest("src", "dst").alias("v2"))
-    alike = classes.filter("members > 1").select(F.col("rep").alias("v1"), F.col("rep").alias("v2"), F.lit(1.0).alias("score"))
-    alike_open = alike.join(edges, ["v1", "v2"], "left_anti")  # a class with self-loops is all edges
     known = durable(alike_open, "scored")
     weights = classes.select("rep", "members")
-    largest = classes.agg(F.max("size")).first()[0]
     most = LISTED * postings.count()
     t, closing = start, False
-    while largest is not None:
+    while True:
         per_item = postings.filter(in_prefix(t)).groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("n"))
         if (per_item.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) > most:
-            # The best k pairs of classes hold the best k of vertices: each has a pair of vertices before those of later ones.
-            best = best_open_in_cells(postings.select("rep", "size", "item"), k).orderBy(F.desc("score"), "v1", "v2").limit(k)
-            following = durable(alike_open.unionByName(best), "scored")
             if report is not None:
                 report.append((t, 0))
             discard(known)
-            known = following
+            known = _counted_pairs(sets, classes, alike_open, k)
             break
         if words is None:
             words = durable(neighbour_words(near, [year]), "words")
@@ -153,11 +194,4 @@ def best_open_pairs(adj: DataFrame, year: int, k: int, start: float = START, rep
             break
         t, closing = (kth, True) if kth is not None else (max(t * STEP, 1 / (2 * largest)), False)
     discard(postings, size, *([words] if words is not None else []))
-    floor = _kth_score(known, weights, k)  # bounds what is expanded into pairs of vertices
-    best = known.filter(F.col("score") >= floor) if floor is not None else known
-    one = members.select(F.col("rep").alias("v1"), F.col("v").alias("_v1"))
-    two = members.select(F.col("rep").alias("v2"), F.col("v").alias("_v2"))
-    listed = best.join(one, "v1").join(two, "v2").filter((F.col("v1") != F.col("v2")) | (F.col("_v1") < F.col("_v2")))
-    listed = listed.select(F.least("_v1", "_v2").alias("v1"), F.greatest("_v1", "_v2").alias("v2"), "score")
-    listed = listed.join(edges, ["v1", "v2"], "left_anti")
-    return listed.orderBy(F.desc("score"), "v1", "v2").limit(k)
+    return known

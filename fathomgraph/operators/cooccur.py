@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, shuffles_freed
 
 #: Most concepts of a paper that one task pairs with each other; papers above it are split into blocks.
 BLOCK = 256
@@ -24,7 +24,9 @@ def cooccurrence(mentions: DataFrame, paper: str, concept: str, carry: Sequence[
     large = mentions.groupBy(paper).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
     rest = mentions
     parts = []
-    if not large.isEmpty():
+    with shuffles_freed(mentions.sparkSession):
+        usual = large.isEmpty()
+    if not usual:
         large = durable(large.select(paper, (F.floor(F.col("_n") / block) + 1).cast("int").alias("_blocks")), "large")
         parts = _large_papers(mentions.join(large, paper), paper, concept, carry)
         rest = mentions.join(large, paper, "left_anti")

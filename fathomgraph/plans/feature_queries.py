@@ -443,8 +443,9 @@ cte("part_shared", "SELECT x.dst AS v1, y.dst AS v2, count(*) AS n FROM part_nea
     "part_shared", "part_degree", "part_near",
 )
 def _(spark, d):
-    """The best hundred open pairs of the graph of single parts."""
-    best = best_open_pairs(graph.adjacency(graph.first_seen(i.dated_part_pairs(spark, d))), YEAR, 100)
+    """The best hundred open pairs of the graph of single parts; later pairs, which add nothing to the year, are not shuffled."""
+    pairs = i.dated_part_pairs(spark, d).filter(graph.known_in(YEAR, "time"))
+    best = best_open_pairs(graph.adjacency(graph.first_seen(pairs)), YEAR, 100)
     return best.withColumn("score", r9(F.col("score")))
 
 
